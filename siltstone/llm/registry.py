@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, labelled, quality, toxicity
+from . import decontaminate, html, labelled, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(toxicity.score(docs, net), lambda c: labelled.remainder(c, 5) == 0)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.array_distinct(F.col("res.matches.item_id"))
@@ -43,7 +48,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(quality.score(docs, weights), lambda c: labelled.remainder(c, 3) == 1)
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op4_toxicity, op8_benchmark_decontamination, op9_quality_classifier]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op4_toxicity, op6_html_extraction, op8_benchmark_decontamination, op9_quality_classifier]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
