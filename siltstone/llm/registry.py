@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html, labelled, quality, toxicity
+from . import bpe, decontaminate, html, labelled, quality, repair, store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,18 @@ def classified(scored: DataFrame, held) -> DataFrame:
     return scored.select(doc_id.alias("doc_id"), F.coalesce(held(doc_id), F.lit(False)).alias("held_out"), F.col("res.score").alias("score"), (F.col("res.score") >= 0.5).cast("int").alias("predicted"))
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe())
+    decoded = bpe.decode(coded.select(F.col("row.doc_id").alias("doc_id"), "ids"), byte_bpe())
+    return decoded.select("row.doc_id", (F.octet_length("row.ids") / 4).cast("long").alias("n_tokens"), F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2(F.col("res.text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), labelled.remainder("doc_id", 5) != 0)
@@ -29,6 +41,14 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe())
+    end = (2).to_bytes(4, "little")
+    coded = store.written(coded.select("row.doc_id", F.concat("ids", F.lit(end)).alias("ids")), "ids")
+    found = repair.read(repair.write(coded))
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.array_distinct(F.col("res.matches.item_id"))
@@ -48,7 +68,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(quality.score(docs, weights), lambda c: labelled.remainder(c, 3) == 1)
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op4_toxicity, op6_html_extraction, op8_benchmark_decontamination, op9_quality_classifier]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op4_toxicity, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

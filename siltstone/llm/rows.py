@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import textvec
 
 
-def with_result(docs: DataFrame, text: str, result: T.StructType, fn: Callable[[], Callable[[np.ndarray, np.ndarray], list[pa.Array]]]) -> DataFrame:
+def with_result(docs: DataFrame, text: str, result: T.StructType, fn: Callable[[], Callable[[np.ndarray, np.ndarray], list[pa.Array]]], kind: str = "string") -> DataFrame:
     """Columns row (all of docs) and res (fn's result) for each row.
 
     fn() is called once a task and gives a function from (bytes, offsets) of a slice of texts to
@@ -34,7 +34,7 @@ def with_result(docs: DataFrame, text: str, result: T.StructType, fn: Callable[[
                 res = pa.StructArray.from_arrays(cols, fields=[pa.field(n, k) for n, k in zip(names, kinds, strict=True)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), res], names=["row", "res"])
 
-    return docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, shape)
+    return docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").cast(kind).alias("text")).mapInArrow(run, shape)
 
 
 def lists(lengths: np.ndarray, values: pa.Array) -> pa.Array:
