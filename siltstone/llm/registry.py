@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, labelled, quality, repair, store, toxicity
+from . import bpe, decontaminate, html, labelled, quality, repair, store, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("row.doc_id", (F.octet_length("row.ids") / 4).cast("long").alias("n_tokens"), F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2(F.col("res.text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "res.n_words", "res.n_removed", F.sha2(F.col("res.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), labelled.remainder("doc_id", 5) != 0)
@@ -68,7 +73,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(quality.score(docs, weights), lambda c: labelled.remainder(c, 3) == 1)
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op4_toxicity, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op3_substring_dedup, op4_toxicity, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
