@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, labelled, quality, repair, store, substrings, toxicity
+from . import bpe, decontaminate, html, labelled, minhash, quality, repair, store, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(quality.score(docs, weights), lambda c: labelled.remainder(c, 3) == 1)
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op3_substring_dedup, op4_toxicity, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier]
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and n_links of each document; kept: whether it stays. Documents with a null id are in no class."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.classes(docs).select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op3_substring_dedup, op4_toxicity, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
