@@ -89,7 +89,7 @@ def bands(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) ->
     out = np.zeros((len(head), BANDS), np.uint64)
     low = np.uint64(0xFFFF)
     for j in range(BANDS * ROWS):
-        x = (shingle + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (shingle + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xC2B2AE3D27D4EB4F)
         x ^= x >> np.uint64(29)

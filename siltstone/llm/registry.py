@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, labelled, minhash, quality, repair, store, substrings, toxicity
+from . import bpe, decontaminate, html, labelled, minhash, quality, repair, store, substrings, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("row.doc_id", (F.octet_length("row.ids") / 4).cast("long").alias("n_tokens"), F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2(F.col("res.text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "res.n_words", "res.n_removed", F.sha2(F.col("res.kept").cast("binary"), 256).alias("kept_sha256"))
@@ -79,7 +84,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(docs).select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op3_substring_dedup, op4_toxicity, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier, op10_minhash_near_dedup]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op2_embedding_near_dedup, op3_substring_dedup, op4_toxicity, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
