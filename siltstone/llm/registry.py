@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, labelled, minhash, quality, repair, store, substrings, toxicity, vectors
+from . import bpe, decontaminate, html, labelled, language, minhash, quality, repair, store, substrings, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(toxicity.score(docs, net), lambda c: labelled.remainder(c, 5) == 0)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(labelled.remainder("doc_id", 7) == 2, F.lit(False))
+    found = language.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
+    held = F.coalesce(labelled.remainder(F.col("row.doc_id"), 7) == 2, F.lit(False))
+    return found.select("row.doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -84,7 +91,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(docs).select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op2_embedding_near_dedup, op3_substring_dedup, op4_toxicity, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier, op10_minhash_near_dedup]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op2_embedding_near_dedup, op3_substring_dedup, op4_toxicity, op5_lm_scoring, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
