@@ -1,9 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Spark splits every whole text into the words of the byte-level pre-tokenizer, the distinct words are
-encoded once each, and their ids are joined back by position. While the word table is small (its size
-is measured, at most `broadcast_bytes`) the join is a lookup in a broadcast copy; beyond that every word
-position is a row of a shuffled join. Ids are one binary a text: little-endian unsigned 32-bit integers.
+counted, the commonest (as many as fit in `broadcast_bytes`, by measured size) encoded once each, and their ids
+joined back by position by a lookup in a broadcast copy. Words too rare for that copy are encoded once for each
+few hundred texts that hold them: they occur so seldom that a shuffled join of positions costs more. Ids are one binary a text: little-endian unsigned 32-bit integers.
 Decoding joins ids to the pieces of the vocabulary, whose size is fixed.
 
 Null and empty texts have no ids. Rows keep all their columns; repeated rows count each for itself.
@@ -89,38 +89,43 @@ class Lookup:
         self.start = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int64)
         self.ids = np.frombuffer(b"".join(ids), "<u4")
 
-    def encode(self, column: pa.Array) -> list[bytes]:
-        """Ids of each list of words."""
+    def encode(self, column: pa.Array, whole) -> list[bytes]:
+        """Ids of each list of words; words too rare for the table are encoded by `whole`, once for the lists at hand."""
         lengths = np.diff(column.offsets.to_numpy())
         coded = column.flatten().dictionary_encode()
-        slots = np.array([self.slot[w] for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-        raw = self.ids[expand(slots, self.start)].tobytes()
-        cut = np.concatenate([[0], np.cumsum(self.start[slots + 1] - self.start[slots])])[np.concatenate([[0], np.cumsum(lengths)])] * 4
+        words = coded.dictionary.to_pylist()
+        rare = [w for w in words if w not in self.slot]
+        late = [e.ids for e in whole.encode_batch(rare, add_special_tokens=False)]
+        place = {w: len(self.slot) + k for k, w in enumerate(rare)}
+        ids = np.concatenate([self.ids, *[np.array(i, "<u4") for i in late]])
+        start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(i) for i in late]).astype(np.int64)])
+        slots = np.array([self.slot[w] if w in self.slot else place[w] for w in words], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        raw = ids[expand(slots, start)].tobytes()
+        cut = np.concatenate([[0], np.cumsum(start[slots + 1] - start[slots])])[np.concatenate([[0], np.cumsum(lengths)])] * 4
         return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Columns row (all of docs) and ids."""
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    found = docs.select(F.explode(split(value, path)).alias("word"))
-    table = store.written(encoded_words(found, path), "words")
-    total = table.agg(F.sum(F.octet_length("word") + F.octet_length("ids") + 16)).first()[0] or 0
-    src = docs.select(F.struct("*").alias("row"), value.alias("text"))
-    if total <= broadcast_bytes:
-        return looked_up(src, table, path)
-    keyed = store.written(src.withColumn("key", F.monotonically_increasing_id()), "texts")
-    words = keyed.select("key", F.posexplode(split(F.col("text"), path)).alias("pos", "word")).join(table, "word")
-    joined = words.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    joined = joined.select("key", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("joined"))
-    whole = keyed.where(split(F.col("text"), path).isNull())
-    direct = looked_up(whole.select(F.struct("key").alias("row"), "text"), None, path).select("row.key", F.col("ids").alias("direct"))
-    return keyed.join(joined, "key", "left").join(direct, "key", "left").select("row", F.coalesce("joined", "direct", F.lit(b"")).alias("ids"))
-
-
-def looked_up(src: DataFrame, table: DataFrame | None, path: str) -> DataFrame:
+    counted = docs.select(F.explode(split(value, path)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = store.written(counted, "counts")
+    # the lowest count whose words, with all commoner ones, fit
+    held, least = 0, 1 << 62
+    sizes = counted.groupBy("n").agg(F.sum(2 * F.octet_length("word") + 20).alias("size"))
+    for n, size in sizes.orderBy(F.desc("n")).collect():
+        held += size
+        if held > broadcast_bytes:
+            break
+        least = n
+    table = store.written(encoded_words(counted.where(F.col("n") >= least), path), "words")
+    return looked_up(docs.select(F.struct("*").alias("row"), value.alias("text")), table, path)
+
+
+def looked_up(src: DataFrame, table: DataFrame, path: str) -> DataFrame:
     """src has row and text; ids by lookup in table, whole texts where Spark did not split them."""
-    small = table.toArrow() if table is not None else None
-    shared = src.sparkSession.sparkContext.broadcast((small.column("word").to_pylist(), small.column("ids").to_pylist()) if small is not None else ([], []))
+    small = table.toArrow()
+    shared = src.sparkSession.sparkContext.broadcast((small.column("word").to_pylist(), small.column("ids").to_pylist()))
     shape = T.StructType([src.schema["row"], T.StructField("ids", T.BinaryType())])
     kept: dict[str, object] = {}
 
@@ -132,7 +137,7 @@ def looked_up(src: DataFrame, table: DataFrame | None, path: str) -> DataFrame:
             for at in range(0, len(batch), 256):
                 part = words.slice(at, 256)
                 empty = part.fill_null(pa.scalar([], part.type)) if part.null_count else part
-                ids = kept["table"].encode(empty)
+                ids = kept["table"].encode(empty, kept["whole"])
                 if part.null_count:
                     texts = batch.column(2).slice(at, 256)
                     for k in np.flatnonzero(part.is_null().to_numpy(zero_copy_only=False)):
