@@ -3,11 +3,15 @@
 A document is its five-word shingles (all its words where it has fewer), each weighted by its count times the
 mean over its words of ln(1 + documents / documents with the word); word counts cover all documents, in
 2**20 hash buckets. Documents of one word sequence are one text. Consistent samples of each text, `ROWS` to a
-band, deal texts into `BANDS` tables of buckets. In each bucket every text is compared with the smallest one;
-then the pairs that lie in one bucket but in different components are compared too, so a link is only left out
-where its ends are in one component anyway. Every compared pair is verified on whole texts.
+band, deal texts into `BANDS` tables of buckets. In each bucket every text is compared with the smallest one.
+Buckets that hold several components after that are gone through in pairs of blocks of about `BLOCK` texts: the
+samples of every two texts of different components are compared, and those that agree in `AGREE` or more are
+verified. Where these are more than `MANY` a text, the block's whole texts are compared by matrix products instead
+and only a forest of the links leaves it. A link is only left out where its ends are in one component anyway; no task
+holds a whole large bucket. Every link is verified on whole texts.
 
-A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**4)**12 = 0.998.
+A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**4)**12 = 0.998, and agrees in 28 of 48
+samples with probability over 0.999.
 
 Words are runs without ASCII white space, unchanged. Texts without words, null texts and rows with a null id
 link with nothing. Rows that repeat an id belong to their texts' classes each.
@@ -22,6 +26,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import components, rows, store, textvec
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BITS = 5, 0.8, 12, 4, 20
+#: Texts in a block, samples in which a pair has to agree to be verified, and pairs a text from which a block is dense.
+BLOCK, AGREE, MANY = 1024, 28, 4
+KEYS = "band", "bucket", "lo", "hi"
 _BASE = 0xE7037ED1A0B428DB | 1
 _rng = np.random.default_rng(11)
 _R, _LNC, _BETA = (x.astype(np.float32) for x in (_rng.gamma(2, 1, 1 << 16), np.log(_rng.gamma(2, 1, 1 << 16)), _rng.random(1 << 16)))
@@ -79,7 +86,7 @@ def features(h: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.nd
 
 
 def bands(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of keys of each text, all keys): BANDS for a text with words, else none."""
+    """(number of keys of each text, all keys): BANDS for a text with words, else none; a key is ROWS samples of 16 bits."""
     has = np.bincount(text, minlength=n) > 0
     if not len(text):
         return np.zeros(n, np.int64), np.zeros(0, np.uint64)
@@ -100,7 +107,7 @@ def bands(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) ->
         hit = np.flatnonzero(a == best[of])
         hit = hit[np.flatnonzero(np.diff(of[hit], prepend=-1))]
         sample = textvec.mix(shingle[hit] + t[hit].astype(np.int64).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-        out[:, j // ROWS] = textvec.mix(out[:, j // ROWS] * np.uint64(31) + sample + np.uint64(j))
+        out[:, j // ROWS] |= (sample & low) << np.uint64(16 * (j % ROWS))
     return np.where(has, BANDS, 0), out.ravel()
 
 
@@ -128,8 +135,142 @@ def verified(pairs: DataFrame, texts: DataFrame, table, least: float) -> DataFra
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def grouped(rows_: DataFrame, schema: str, fn) -> DataFrame:
+    """The Arrow tables that fn gives for the rows of each KEYS, which lie next to each other; the keys come first in rows_."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            ids = [held.column(c).to_numpy() for c in range(len(KEYS))]
+            cut = np.flatnonzero(np.logical_or.reduce([np.diff(x) != 0 for x in ids])) + 1
+            for a, b in zip([0, *cut[:-1].tolist()], cut.tolist()):
+                yield fn(held.slice(a, b - a))
+            held = held.slice(int(cut[-1])) if len(cut) else held
+        if held is not None and len(held):
+            yield fn(held)
+
+    return rows_.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, schema)
+
+
+class Block:
+    """Texts of a pair of blocks of one bucket."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.band, self.bucket, self.lo, self.hi = (batch.column(k)[0].as_py() for k in range(4))
+        side, self.node, self.component = (batch.column(k).to_numpy() for k in (4, 5, 6))
+        self.key = np.ascontiguousarray(batch.column(7).flatten().to_numpy(zero_copy_only=False)).reshape(len(side), BANDS)
+        self.one = self.lo == self.hi
+        self.first, self.second = (np.arange(len(side)),) * 2 if self.one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+
+    def new(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those pairs of rows whose ends are in different components and share no earlier band."""
+        use = self.component[x] != self.component[y]
+        if self.one:
+            use &= x < y
+        x, y = x[use], y[use]
+        use = (self.key[x] == self.key[y]).argmax(1) == self.band
+        return x[use], y[use]
+
+    def agreeing(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs of rows that agree in `AGREE` samples; None where they are more than `MANY` a row."""
+        samples = np.ascontiguousarray(self.key.view(np.uint16).reshape(len(self.node), BANDS * ROWS).T)
+        found, held = [(np.zeros(0, np.int64),) * 2], 0
+        for at in range(0, len(self.first), 64):
+            i = self.first[at : at + 64]
+            same = np.zeros((len(i), len(self.second)), np.uint8)
+            for s in samples:
+                same += s[i][:, None] == s[self.second][None, :]
+            x, y = np.nonzero(same >= AGREE)
+            found.append(self.new(i[x], self.second[y]))
+            held += len(found[-1][0])
+            if held > MANY * len(self.node):
+                return None
+        return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+    def linked(self, f: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the pairs of rows that are surely similar, and all pairs that may be; f: their features."""
+        text, shingle, weight = f
+        n = len(self.node)
+        # the smaller of two weights is the sum of the steps up to it: products of 0-1 columns, one a step
+        order = np.lexsort((weight, shingle))
+        text, shingle, weight = text[order], shingle[order], weight[order]
+        head = np.ones(len(text), bool)
+        head[1:] = shingle[1:] != shingle[:-1]
+        step = head.copy()
+        step[1:] |= weight[1:] != weight[:-1]
+        column = np.cumsum(step) - 1
+        low = column[np.maximum.accumulate(np.where(head, np.arange(len(text)), 0))]
+        at = np.flatnonzero(step)
+        height = weight[at] - np.where(head[at], 0, weight[at - 1])
+        up = column - low + 1
+        row, col = np.repeat(text, up), np.repeat(low - (np.cumsum(up) - up), up) + np.arange(int(up.sum()))
+        shared = np.flatnonzero(np.bincount(col, minlength=len(at)) > 1)
+        place = np.full(len(at), -1)
+        place[shared] = np.arange(len(shared))
+        use = place[col] >= 0
+        row, col = row[use], place[col[use]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        root = np.sqrt(height[shared]).astype(np.float32)
+        both = np.zeros((len(self.first), len(self.second)), np.float32)
+        for c in range(0, len(shared), 2048):
+            a, b = np.searchsorted(col, (c, c + 2048))
+            m = np.zeros((n, 2048), np.float32)
+            m[row[a:b], col[a:b] - c] = root[col[a:b]]
+            both += m[self.first] @ m[self.second].T
+        total = np.bincount(text, weight, minlength=n).astype(np.float32)
+        both /= np.maximum(total[self.first][:, None] + total[self.second][None, :] - both, 1e-30)
+        x, y = np.nonzero(both >= least - 1e-3)
+        sure = both[x, y] >= least + 1e-3
+        maybe, sure = (self.new(self.first[x[k]], self.second[y[k]]) for k in (~sure, sure))
+        up, forest = list(range(n)), []
+
+        def find(e):
+            while up[e] != e:
+                up[e] = e = up[up[e]]
+            return e
+
+        for e, (i, j) in enumerate(zip(*(s.tolist() for s in sure), strict=True)):
+            i, j = find(i), find(j)
+            if i != j:
+                up[j] = i
+                forest.append(e)
+        return tuple(np.concatenate([s[forest], m]) for s, m in zip(sure, maybe, strict=True))
+
+
+def across(left: DataFrame, texts: DataFrame, table, least: float) -> DataFrame:
+    """Pairs (a, b) to verify of rows (band, bucket, blocks, node, component, bands): of one bucket, of different components."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "component", "bands")
+    names = ["a", "b", *KEYS]
+
+    def pairs(block: Block, x: np.ndarray, y: np.ndarray) -> list[pa.Array]:
+        a, b = block.node[x], block.node[y]
+        return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+
+    def sampled(batch):
+        block = Block(batch)
+        found = block.agreeing()
+        if found is None:
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([v], t) for v, t in zip((block.band, block.bucket, block.lo, block.hi), (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([*pairs(block, *found), *(pa.nulls(len(found[0]), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=names)
+
+    def whole(batch):
+        block = Block(batch)
+        data, offsets = textvec.utf8(batch.column(8))
+        parts = [(a, features(*words_of(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a]), table.value)) for a, b in textvec.slices(offsets)]
+        f = tuple(np.concatenate([p[k] + a if k == 0 else p[k] for a, p in parts]) for k in range(3))
+        return pa.RecordBatch.from_arrays(pairs(block, *block.linked(f, least)), names=names[:2])
+
+    found = store.written(grouped(dealt, "a long, b long, band int, bucket long, lo int, hi int", sampled), "agreeing")
+    dense = dealt.join(found.where("a IS NULL").select(*KEYS), [*KEYS]).join(texts, "node").select(*KEYS, "side", "node", "component", "bands", "text")
+    return found.where("a IS NOT NULL").select("a", "b").unionByName(grouped(dense, "a long, b long", whole))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Columns doc_id, key (hash of the text), class_id (smallest id of the class) and n_links (other texts linked to this one)."""
+    """Columns doc_id, key (hash of the text) and class_id (smallest id of the class)."""
     sc = docs.sparkSession.sparkContext
     value = F.col(f"`{text}`").cast("string")
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(value).alias("key"), value.alias("text")).where("doc_id IS NOT NULL")
@@ -160,17 +301,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     found = components.components(links)
     parts = buckets.join(found, "node", "left").select("band", "bucket", "node", F.coalesce("component", "node").alias("component"))
     parts = store.written(parts, "parts")
-    open_ = parts.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
-    left = parts.join(open_, ["band", "bucket"])
-    other = left.select("band", "bucket", F.col("node").alias("b"), F.col("component").alias("other"))
-    cross = left.join(other, ["band", "bucket"]).where("node < b AND component <> other").select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    open_ = parts.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of")).where("lo < hi").select("band", "bucket", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
+    left = parts.join(open_, ["band", "bucket"]).join(nodes.select("node", "bands"), "node")
+    cross = store.written(across(left, texts, table, least).distinct().join(pairs, ["a", "b"], "left_anti"), "cross")
     links = links.unionByName(store.written(verified(cross, texts, table, least), "links"))
     found = components.components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = nodes.select("node", F.size("bands").alias("n"), "first").join(found, "node", "left").join(degree, "node", "left").select("node", "n", F.col("first.doc_id").alias("lowest"), F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = nodes.select("node", F.size("bands").alias("n"), F.col("first.doc_id").alias("lowest")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = placed.groupBy("component").agg(F.min("lowest").alias("class_id"))
-    by_node = store.written(placed.join(lowest, "component").select("node", "n", "class_id", "n_links"), "classes")
-    return signed.select("doc_id", "key", "node").join(by_node, "node").select("doc_id", "key", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_links")
+    by_node = store.written(placed.join(lowest, "component").select("node", "n", "class_id"), "classes")
+    return signed.select("doc_id", "key", "node").join(by_node, "node").select("doc_id", "key", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -86,9 +86,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id and n_links of each document; kept: whether it stays. Documents with a null id are in no class."""
+    """doc_id and class_id of each document; kept: whether it stays. Documents with a null id are in no class."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash.classes(docs).select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return minhash.classes(docs).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_bpe, op2_embedding_near_dedup, op3_substring_dedup, op4_toxicity, op5_lm_scoring, op6_html_extraction, op7_token_output, op8_benchmark_decontamination, op9_quality_classifier, op10_minhash_near_dedup]

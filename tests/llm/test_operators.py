@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import bpe, decontaminate, language, minhash, registry, repair, substrings, vectors
@@ -81,6 +82,30 @@ def test_minhash_classes(docs):
     assert minhash.classes(docs.where("doc_id = 99")).count() == 0
 
 
+def test_minhash_dense_block():
+    base, rng = prose(5, 120), np.random.default_rng(6)
+    texts = [" ".join([w if rng.random() > 0.012 else "x" + w for w in base] + base[: rng.integers(0, 30)]) for _ in range(60)]
+    n = len(texts)
+    f = minhash.features(*minhash.words_of(*minhash.textvec.utf8(pa.array(texts))), np.linspace(1, 2, 1 << minhash.BITS))
+    pick = lambda t: (np.zeros((f[0] == t).sum(), int), f[1][f[0] == t], f[2][f[0] == t])
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if minhash.similarity(pick(a), pick(b), 1)[0] >= 0.8}
+    columns = [pa.array([0] * n, pa.int32()), pa.array([7] * n), *(pa.array([0] * n, pa.int32()) for _ in range(3)), pa.array(range(n)), pa.array(range(n)), pa.array([[1] * minhash.BANDS] * n, pa.list_(pa.int64()))]
+    block = minhash.Block(pa.RecordBatch.from_arrays(columns, names=["band", "bucket", "lo", "hi", "side", "node", "component", "bands"]))
+    found = set(zip(*(x.tolist() for x in block.linked(f, 0.8)), strict=True))
+
+    def parts(pairs):
+        lab = list(range(n))
+        for _ in range(n):
+            for a, b in pairs:
+                lab[a] = lab[b] = min(lab[a], lab[b])
+        return lab
+
+    assert 0 < len(want) < n * (n - 1) // 2
+    assert len(found) < 2 * n and found <= want | {p for p in found if abs(minhash.similarity(pick(p[0]), pick(p[1]), 1)[0] - 0.8) < 2e-3}
+    assert parts(found & want) == parts(want)
+    assert block.agreeing() is None
+
+
 def test_decontamination(docs, spark):
     items = spark.createDataFrame([(1, " ".join(prose(2, 200)[30:45])), (2, "two words"), (3, None), (4, ""), (None, "again")], "item_id long, text string")
     found = {r.doc_id: r for r in decontaminate.scan(docs, items).selectExpr("row.doc_id", "res.spans", "res.matches").collect()}
