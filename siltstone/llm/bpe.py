@@ -1,14 +1,15 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Spark splits every whole text into the words of the byte-level pre-tokenizer, the distinct words are
+Tasks split every whole text into the words of the byte-level pre-tokenizer (see words), the distinct words are
 counted, the commonest (as many as fit in `broadcast_bytes`, by measured size) encoded once each, and their ids
 joined back by position by a lookup in a broadcast copy. Words too rare for that copy are encoded once for each
-few hundred texts that hold them: they occur so seldom that a shuffled join of positions costs more. Ids are one binary a text: little-endian unsigned 32-bit integers.
+slice of texts that holds them: they occur so seldom that a shuffled join of positions costs more. Words are told
+apart by 64 bits of hash. Ids are one binary a text: little-endian unsigned 32-bit integers.
 Decoding joins ids to the pieces of the vocabulary, whose size is fixed.
 
 Null and empty texts have no ids. Rows keep all their columns; repeated rows count each for itself.
 Texts with a special token's string, or with characters whose class may differ between Unicode
-versions, are not split in Spark but encoded whole by the same tokenizer.
+versions, are not split but encoded whole by the same tokenizer.
 """
 
 from __future__ import annotations
@@ -20,12 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from . import rows, store
+from . import rows, store, textvec, words
 
-#: Fixed value: how byte-level pre-tokenizers of this family part words.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose class is the same in all Unicode versions at hand.
-OTHER_CHARACTERS = r"[^\x{00}-\x{24F}\x{391}-\x{3A1}\x{3B1}-\x{3C9}\x{400}-\x{481}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20AC}\x{2190}-\x{21FF}\x{2500}-\x{257F}\x{2600}-\x{26FF}\x{3000}-\x{3020}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}\x{1F600}-\x{1F640}]"
 BROADCAST_BYTES = 24 << 20
 IDS = T.StructType([T.StructField("ids", T.BinaryType())])
 TEXT = T.StructType([T.StructField("text", T.StringType())])
@@ -50,12 +47,12 @@ def to_bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def split(text: Column, path: str) -> Column:
-    """Words of a text; null where the text has to be encoded whole."""
-    whole = text.rlike(OTHER_CHARACTERS)
+def special(text: Column, path: str) -> Column:
+    """Whether a text holds a special token's string."""
+    found = F.lit(False)
     for s in specials(path):
-        whole = whole | text.contains(s)
-    return F.when(~whole, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+        found = found | text.contains(s)
+    return found
 
 
 def expand(slot: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -65,7 +62,7 @@ def expand(slot: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.repeat(start[slot] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
+def encoded_words(distinct: DataFrame, path: str) -> DataFrame:
     """Columns word and ids, each word once."""
 
     def make():
@@ -78,38 +75,68 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
         return work
 
-    return rows.with_result(words.select("word").distinct(), "word", IDS, make).select("row.word", "res.ids")
+    return rows.with_result(distinct.select("word"), "word", IDS, make).select("row.word", "res.ids")
+
+
+def strings(data: np.ndarray, borders: np.ndarray, slot: np.ndarray) -> pa.Array:
+    """Some of the words between borders, as Arrow strings."""
+    sizes = np.concatenate([[0], np.cumsum(borders[slot + 1] - borders[slot])]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(slot), pa.py_buffer(sizes.tobytes()), pa.py_buffer(data[expand(slot, borders)].tobytes()))
+
+
+def word_counts(src: DataFrame) -> DataFrame:
+    """Columns word and n of src (text, special), without the texts that are encoded whole."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = textvec.utf8(batch.column(0))
+            flagged = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b in textvec.slices(offsets):
+                part, off = data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a]
+                borders, first, unsure = words.split(part, off)
+                use = np.flatnonzero(np.repeat(~(unsure | flagged[a:b]), np.diff(first)))
+                _, slot, n = np.unique(words.hashes(part, borders)[use], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([strings(part, borders, use[slot]), pa.array(n)], names=["word", "n"])
+
+    return src.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lookup:
-    """The word table on one machine."""
-
-    def __init__(self, words: list[str], ids: list[bytes]):
-        self.slot = {w: k for k, w in enumerate(words)}
-        self.start = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int64)
-        self.ids = np.frombuffer(b"".join(ids), "<u4")
-
-    def encode(self, column: pa.Array, whole) -> list[bytes]:
-        """Ids of each list of words; words too rare for the table are encoded by `whole`, once for the lists at hand."""
-        lengths = np.diff(column.offsets.to_numpy())
-        coded = column.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        rare = [w for w in words if w not in self.slot]
-        late = [e.ids for e in whole.encode_batch(rare, add_special_tokens=False)]
-        place = {w: len(self.slot) + k for k, w in enumerate(rare)}
-        ids = np.concatenate([self.ids, *[np.array(i, "<u4") for i in late]])
-        start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(i) for i in late]).astype(np.int64)])
-        slots = np.array([self.slot[w] if w in self.slot else place[w] for w in words], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+    """The word table on one machine: hashes in ascending order, and the ids of each."""
+
+    def __init__(self, table: pa.Table):
+        data, offsets = textvec.utf8(table.column("word"))
+        raw, cut = textvec.utf8(table.column("ids"))
+        h = words.hashes(data, offsets) if table.num_rows else np.zeros(0, np.int64)
+        order = np.argsort(h)
+        self.hashes = h[order]
+        self.ids = (np.frombuffer(raw[int(cut[0]) : int(cut[-1])].tobytes(), "<u4"))[expand(order, (cut - cut[0]) // 4)]
+        self.start = np.concatenate([[0], np.cumsum((np.diff(cut) // 4)[order])])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, flagged: np.ndarray, whole) -> list[bytes]:
+        """Ids of each text; words too rare for the table are encoded by `whole`, once for the texts at hand."""
+        borders, first, unsure = words.split(data, offsets)
+        h, slot, inverse = np.unique(words.hashes(data, borders), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        late = np.flatnonzero(self.hashes[place] != h) if len(self.hashes) else np.arange(len(h))
+        place[late] = len(self.hashes) + np.arange(len(late))
+        more = [e.ids for e in whole.encode_batch(strings(data, borders, slot[late]).to_pylist(), add_special_tokens=False)]
+        ids = np.concatenate([self.ids, np.array([i for m in more for i in m], "<u4")])
+        start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(m) for m in more]).astype(np.int64)])
+        slots = place[inverse]
         raw = ids[expand(slots, start)].tobytes()
-        cut = np.concatenate([[0], np.cumsum(start[slots + 1] - start[slots])])[np.concatenate([[0], np.cumsum(lengths)])] * 4
-        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        cut = (np.concatenate([[0], np.cumsum(start[slots + 1] - start[slots])])[first] * 4).tolist()
+        out = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for k in np.flatnonzero(unsure | flagged):
+            out[k] = to_bytes(whole.encode(data[int(offsets[k]) : int(offsets[k + 1])].tobytes().decode("utf-8"), add_special_tokens=False).ids)
+        return out
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Columns row (all of docs) and ids."""
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    counted = docs.select(F.explode(split(value, path)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counted = store.written(counted, "counts")
+    src = docs.select(F.struct("*").alias("row"), value.alias("text"), special(value, path).alias("special"))
+    counted = store.written(word_counts(src.select("text", "special")), "counts")
     # the lowest count whose words, with all commoner ones, fit
     held, least = 0, 1 << 62
     sizes = counted.groupBy("n").agg(F.sum(2 * F.octet_length("word") + 20).alias("size"))
@@ -118,34 +145,23 @@ def encode(docs: DataFrame, path: str, text: str = "text", broadcast_bytes: int
         if held > broadcast_bytes:
             break
         least = n
-    table = store.written(encoded_words(counted.where(F.col("n") >= least), path), "words")
-    return looked_up(docs.select(F.struct("*").alias("row"), value.alias("text")), table, path)
-
-
-def looked_up(src: DataFrame, table: DataFrame, path: str) -> DataFrame:
-    """src has row and text; ids by lookup in table, whole texts where Spark did not split them."""
-    small = table.toArrow()
-    shared = src.sparkSession.sparkContext.broadcast((small.column("word").to_pylist(), small.column("ids").to_pylist()))
+    table = Lookup(store.written(encoded_words(counted.where(F.col("n") >= least), path), "words").toArrow())
+    shared = docs.sparkSession.sparkContext.broadcast((table.hashes, table.ids, table.start))
     shape = T.StructType([src.schema["row"], T.StructField("ids", T.BinaryType())])
-    kept: dict[str, object] = {}
 
     def run(batches):
+        kept = None
         for batch in batches:
-            if "table" not in kept:
-                kept["table"], kept["whole"] = Lookup(*shared.value), tokenizer(path)
-            words = batch.column(1)
-            for at in range(0, len(batch), 256):
-                part = words.slice(at, 256)
-                empty = part.fill_null(pa.scalar([], part.type)) if part.null_count else part
-                ids = kept["table"].encode(empty, kept["whole"])
-                if part.null_count:
-                    texts = batch.column(2).slice(at, 256)
-                    for k in np.flatnonzero(part.is_null().to_numpy(zero_copy_only=False)):
-                        ids[k] = to_bytes(kept["whole"].encode(texts[int(k)].as_py(), add_special_tokens=False).ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(ids, pa.binary())], names=["row", "ids"])
-
-    words = split(F.col("text"), path)
-    return src.select("row", words.alias("words"), F.when(words.isNull(), F.col("text")).alias("whole")).mapInArrow(run, shape)
+            if kept is None:
+                kept, whole = Lookup.__new__(Lookup), tokenizer(path)
+                kept.hashes, kept.ids, kept.start = shared.value
+            data, offsets = textvec.utf8(batch.column(1))
+            flagged = batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in textvec.slices(offsets):
+                ids = kept.encode(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a], flagged[a:b], whole)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["row", "ids"])
+
+    return src.mapInArrow(run, shape)
 
 
 def pieces(path: str) -> list[bytes]:

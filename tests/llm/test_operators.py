@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from siltstone.llm import bpe, decontaminate, language, minhash, registry, repair, substrings, vectors
 
@@ -36,6 +37,18 @@ def test_bpe_round_trip(docs):
             assert decoded == (text or "")
 
 
+def test_word_borders():
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    rng, signs = np.random.default_rng(8), list(" '\n\t\u00a0srevltmd12\u00e9\u00b2\u201c!\u4e2d")
+    texts = ["", *("".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(3000)), "", "it's", "  ", "we'", ""]
+    data, offsets = bpe.textvec.utf8(pa.array(texts))
+    borders, first, unsure = bpe.words.split(data, offsets)
+    found = bpe.strings(data, borders, np.arange(len(borders) - 1)).to_pylist()
+    assert [found[a:b] for a, b in zip(first[:-1], first[1:], strict=True)] == [pattern.findall(t) for t in texts]
+    assert not unsure.any()
+    assert bpe.words.split(*bpe.textvec.utf8(pa.array(["a", "\u0e01", ""])))[2].tolist() == [False, True, False]
+
+
 def test_repair_files(docs, spark):
     coded = bpe.encode(docs, PATH).selectExpr("row.doc_id", "ids")
     found = repair.read(repair.write(coded, shard_tokens=2000)).orderBy("start").collect()
