@@ -27,7 +27,7 @@ MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 20
 LEAST = 16
 BLOBS = "part int, shard int, n_tokens long, blob binary"
-DOCS = "part int, shard int, doc_id long, local long, ids binary"
+DOCS = "doc_id long, start long, ids binary"
 
 
 def compress(seq: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,14 +159,14 @@ def read(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for base, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = Shard(blob.as_py())
                 whole, n = s.expand(s.sequence).astype("<u4"), len(s.ids)
                 for a in range(0, n, 1024):
                     b = min(a + 1024, n)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part] * (b - a), pa.int32()), pa.array([shard] * (b - a), pa.int32()), pa.array(s.ids[a:b], pa.int64()), pa.array(s.starts[a:b]), pa.array([whole[s.starts[k] : s.starts[k + 1]].tobytes() for k in range(a, b)], pa.binary())],
-                        names=["part", "shard", "doc_id", "local", "ids"],
+                        [pa.array(s.ids[a:b], pa.int64()), pa.array(s.starts[a:b] + base), pa.array([whole[s.starts[k] : s.starts[k + 1]].tobytes() for k in range(a, b)], pa.binary())],
+                        names=["doc_id", "start", "ids"],
                     )
 
     # one number a part and one a shard: parts are no more than shuffle partitions
@@ -177,4 +177,5 @@ def read(files: DataFrame) -> DataFrame:
     base = F.create_map(*[F.lit(x).cast(k) for p, v in before.items() for x, k in ((p, "int"), (v, "long"))]) if before else F.create_map().cast("map<int,bigint>")
     w = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = files.select("part", "shard", (F.coalesce(F.sum("n_tokens").over(w), F.lit(0)) + base[F.col("part")]).alias("base"))
-    return files.select("part", "shard", "blob").mapInArrow(run, DOCS).join(shards, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "ids")
+    # the compressed blobs meet their bases; what they expand to is not shuffled
+    return files.select("part", "shard", "blob").join(shards, ["part", "shard"]).select("base", "blob").mapInArrow(run, DOCS)
