@@ -1,12 +1,12 @@
 """LM scoring with a log-bilinear neural model trained in numpy by noise-contrastive estimation.
 
-Spark counts every token of all training texts, and every pair of tokens one and two places apart over the
-`FREQUENT` commonest (the others are one symbol, the start of a text is another); so what is learnt from covers
-the whole corpus, while the pair table has a fixed largest size. For each of the two distances a log-bilinear model
-(context vectors, target vectors, target biases) is trained on these counts by noise-contrastive estimation with
-unigram noise, then normalised exactly by one batched matrix product over all contexts and targets. A token's
-probability mixes both models and the unigram; a token outside the frequent ones is the probability of the common
-symbol times its own smoothed share, (c + 1) / (tokens + types + 1 of the others), which leaves room for the unseen.
+Spark counts every token of all training texts, and every pair of tokens one and two places apart over the `FREQUENT` commonest (the others are
+one symbol, the start of a text is another). The pair table
+stays in Spark. For each of the two distances a log-bilinear model (context vectors, target vectors, target biases) is trained
+by noise-contrastive estimation with unigram noise: Spark tasks pass over all pairs counted, weighted by their counts, `EPOCHS`
+times, and their moves are averaged after each. Tasks then normalise it exactly, a batch of contexts at a time over all targets.
+A token's probability mixes both models and the unigram; a token without a symbol of its own is the probability of its class
+times its own smoothed share, (c + 1) / (tokens + types + 1 of the class), which leaves room for the unseen.
 
 Counts of the commonest words (at most `TABLE`) are broadcast; all other words of a text are joined with the count
 table. Words: A-Z lower-cased, runs without ASCII white space; each text ends with one end token, so null and empty
@@ -15,6 +15,8 @@ texts have that one. With no training text all counts are 0.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from . import rows, store, textvec
 
 FREQUENT, TABLE, DIM = 1024, 1 << 18, 40
+#: Passes over the pair table, and pairs a task holds at once.
+EPOCHS, CELLS = 2, 1 << 21
 #: Parts of the mixture: unigram, distance 1, distance 2.
 MIX = (0.1, 0.6, 0.3)
 END = textvec.hash_text(b"\n")
@@ -49,97 +53,212 @@ def counts(texts: DataFrame) -> DataFrame:
 
 
 class Symbols:
-    """The broadcast part of the count table; symbols are the frequent words by rank, then one for all others, then the start."""
+    """The broadcast part of the count table; symbols are the `own` commonest words by rank, then `classes` (a power of two) of all others by hash, then the start."""
 
-    def __init__(self, word: np.ndarray, c: np.ndarray):
+    def __init__(self, word: np.ndarray, c: np.ndarray, own: int, classes: int):
         order = np.lexsort((word, -c))
-        rank = np.full(len(word), FREQUENT)
-        rank[order[:FREQUENT]] = np.arange(min(FREQUENT, len(word)))
+        rank = np.full(len(word), -1)
+        rank[order[:own]] = np.arange(own)
         by_word = np.argsort(word)
         self.word, self.c, self.rank = word[by_word], c[by_word], rank[by_word]
+        self.own, self.classes, self.n = own, classes, own + classes
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and count (-1: not in the table) of each token."""
+        classed = self.own + (h & np.uint64(self.classes - 1)).astype(np.int64)
         if not len(self.word):
-            return np.full(len(h), FREQUENT), np.full(len(h), -1)
+            return classed, np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
         hit = self.word[at] == h
-        return np.where(hit, self.rank[at], FREQUENT), np.where(hit, self.c[at], -1)
+        return np.where(hit & (self.rank[at] >= 0), self.rank[at], classed), np.where(hit, self.c[at], -1)
 
 
-def contexts(symbol: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+def contexts(symbol: np.ndarray, first: np.ndarray, start: int) -> list[np.ndarray]:
     """The symbols one and two places before each token."""
     out = []
     place = np.arange(len(symbol)) - np.repeat(first[:-1], np.diff(first))
     for k in (1, 2):
-        before = np.full(len(symbol), FREQUENT + 1)
+        before = np.full(len(symbol), start)
         at = np.flatnonzero(place >= k)
         before[at] = symbol[at - k]
         out.append(before)
     return out
 
 
-def pair_counts(texts: DataFrame, symbols) -> np.ndarray:
-    """How often each target (column) follows each context (row), for both distances."""
-    shape = (2, FREQUENT + 2, FREQUENT + 1)
+def pair_counts(texts: DataFrame, symbols) -> DataFrame:
+    """Rows (context, target, n): how often each target follows each context; numbers of both distances are those of `Model`."""
 
     def run(batches):
-        total = np.zeros(int(np.prod(shape)), np.int64)
+        n = symbols.value.n
+        held, size = [], 0
+
+        def counted():
+            at, c = np.unique(np.concatenate(held), return_counts=True)
+            context, target = np.divmod(at, 2 * n)
+            return pa.RecordBatch.from_arrays([pa.array(context.astype(np.int32)), pa.array(target.astype(np.int32)), pa.array(c)], names=["context", "target", "n"])
+
         for batch in batches:
             data, offsets = textvec.utf8(batch.column(0))
             for a, b in textvec.slices(offsets):
                 h, first = tokens(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a])
                 symbol = symbols.value.find(h)[0]
-                for k, before in enumerate(contexts(symbol, first)):
-                    at, n = np.unique((k * shape[1] + before) * shape[2] + symbol, return_counts=True)
-                    total[at] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    found = texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(int(np.prod(shape)))
-    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(shape)
-
-
-def train(pairs: np.ndarray, noise: np.ndarray, steps: int = 400, batch: int = 4096, k: int = 12, rate: float = 0.1, seed: int = 3) -> np.ndarray:
-    """Normalised log-probabilities (context, target) of a log-bilinear model of the counted pairs."""
-    rng = np.random.default_rng(seed)
-    r, q = (rng.normal(0, 0.1, (n, DIM)).astype(np.float32) for n in pairs.shape)
-    logp = np.log(noise)
-    bias = logp.astype(np.float32)
-    sums = [np.full(x.shape, 1e-3, np.float32) for x in (r, q, bias)]
-    at = np.flatnonzero(pairs.ravel())
-    if len(at):
-        reach = np.cumsum(pairs.ravel()[at])
-        noise_reach = np.cumsum(noise)
-
-        def step(x, s, rows_, grad):
-            # rows that occur repeatedly move once, by their summed gradient (Adagrad)
-            order = np.argsort(rows_, kind="stable")
-            head = np.flatnonzero(np.diff(rows_[order], prepend=-1))
-            g = np.add.reduceat(grad[order], head, axis=0)
-            u = rows_[order][head]
-            s[u] += g * g
-            x[u] -= rate * g / np.sqrt(s[u])
-
-        for _ in range(steps):
-            pick = at[np.searchsorted(reach, rng.random(batch) * reach[-1], "right").clip(max=len(at) - 1)]
-            context, target = np.divmod(pick, pairs.shape[1])
-            false = np.searchsorted(noise_reach, rng.random((batch, k)) * noise_reach[-1], "right").clip(max=len(noise) - 1)
-            w = np.concatenate([target[:, None], false], 1)
-            v = q[w]
-            score = np.einsum("bd,bkd->bk", r[context], v) + bias[w]
-            g = 1 / (1 + np.exp(-(score - logp[w] - np.log(k)).clip(-30, 30)))
-            g[:, 0] -= 1
-            g = (g / np.sqrt(batch)).astype(np.float32)
-            dr, dq = np.einsum("bk,bkd->bd", g, v), g[:, :, None] * r[context][:, None, :]
-            step(r, sums[0], context, dr)
-            step(q, sums[1], w.ravel(), dq.reshape(-1, DIM))
-            step(bias, sums[2], w.ravel(), g.ravel())
-    logits = (r @ q.T + bias).astype(np.float64)
-    top = logits.max(1, keepdims=True)
-    return logits - top - np.log(np.exp(logits - top).sum(1, keepdims=True))
+                for k, before in enumerate(contexts(symbol, first, n)):
+                    held.append((k * (n + 1) + before) * (2 * n) + k * n + symbol)
+                    size += len(symbol)
+                if size >= CELLS:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    found = texts.mapInArrow(run, "context int, target int, n long").repartition("context")
+    return found.groupBy("context", "target").agg(F.sum("n").alias("n")).sortWithinPartitions("context", "target")
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place, over float32."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+class Model:
+    """Rows of both distances: 2 (n + 1) contexts, then 2 n targets; a row is a vector, a bias, and the Adagrad sums of the two."""
+
+    def __init__(self, noise: np.ndarray, seed: int = 3):
+        self.n, self.noise = len(noise), noise
+        self.w = np.zeros((4 * self.n + 2, DIM + 3), np.float32)
+        self.w[:, :DIM] = np.random.default_rng(seed).normal(0, 0.1, (len(self.w), DIM))
+        self.w[2 * self.n + 2 :, DIM] = np.tile(np.log(noise), 2)
+        self.w[:, DIM + 1 :] = 1e-3
+        self.logz = np.zeros(2 * self.n + 2)
+
+    def move(self, rows_: np.ndarray, grad: np.ndarray, bias: np.ndarray | None, rate: float) -> None:
+        """Rows that occur repeatedly move once, by their summed gradient (Adagrad)."""
+        order = np.argsort(rows_, kind="stable")
+        head = np.flatnonzero(np.diff(rows_[order], prepend=-1))
+        u, g, w = rows_[order][head], np.add.reduceat(grad[order], head, axis=0), self.w
+        w[u, DIM + 1] += np.einsum("ij,ij->i", g, g) / DIM
+        w[u, :DIM] -= rate * g / np.sqrt(w[u, DIM + 1])[:, None]
+        if bias is not None:
+            g = np.add.reduceat(bias[order], head)
+            w[u, DIM + 2] += g * g
+            w[u, DIM] -= rate * g / np.sqrt(w[u, DIM + 2])
+
+    def learn(self, context: np.ndarray, target: np.ndarray, count: np.ndarray, visits: np.ndarray, epoch: int = 0, batch: int = 512, k: int = 64, rate: float = 0.1, most: int = 4) -> None:
+        """One pass over counted pairs by noise-contrastive estimation; a pair counted more than `most` times is dealt over several steps."""
+        rng = np.random.default_rng([epoch, int(context[0]), int(target[0]), len(context)])
+        times = -(-count // most)
+        pick = rng.permutation(np.repeat(np.arange(len(count)), times))
+        weight = (count / times).astype(np.float32)
+        reach = np.cumsum(self.noise)
+        base = np.tile(np.log(self.noise * k), 2).astype(np.float32)
+        first, w = 2 * self.n + 2, self.w
+        np.add.at(visits, context, count)
+        np.add.at(visits, first + target, count)
+        for far in (0, 1):
+            mine = pick[(target[pick] >= self.n) == far]
+            for a in range(0, len(mine), batch):
+                i = mine[a : a + batch]
+                c, t, by = context[i], target[i], weight[i] / np.float32(batch**0.5)
+                # all pairs of a step share its noise, drawn from k equal parts of the unigram
+                f = far * self.n + np.searchsorted(reach, (np.arange(k) + rng.random(k)) / k * reach[-1], "right").clip(max=self.n - 1)
+                x, y, z = w[c, :DIM], w[first + t, :DIM], w[first + f, :DIM]
+                gt = (sigmoid(np.einsum("ij,ij->i", x, y) + w[first + t, DIM] - base[t]) - 1) * by
+                gf = sigmoid(x @ z.T + (w[first + f, DIM] - base[f])) * by[:, None]
+                np.add.at(visits, first + f, by.sum() / k)
+                dc, dt, df = gt[:, None] * y + gf @ z, gt[:, None] * x, gf.T @ x
+                self.move(c, dc, None, rate)
+                self.move(first + np.concatenate([t, f]), np.concatenate([dt, df]), np.concatenate([gt, gf.sum(0)]), rate)
+
+    def log_p(self, far: int, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of symbols after the symbols `before`."""
+        out = np.empty(len(symbol))
+        for a in range(0, len(symbol), 1 << 15):
+            c, t = far * (self.n + 1) + before[a : a + (1 << 15)], 2 * self.n + 2 + far * self.n + symbol[a : a + (1 << 15)]
+            out[a : a + (1 << 15)] = np.einsum("ij,ij->i", self.w[c, :DIM], self.w[t, :DIM]) + self.w[t, DIM] - self.logz[c]
+        return out
+
+    def normaliser(self, context: np.ndarray) -> np.ndarray:
+        """Log of the sum over all targets for contexts of one distance."""
+        far = int(context[0] > self.n)
+        q = self.w[2 * self.n + 2 + far * self.n :][: self.n]
+        logits = self.w[context, :DIM] @ q[:, :DIM].T + q[:, DIM]
+        top = logits.max(1, keepdims=True)
+        return top[:, 0] + np.log(np.exp(logits - top).sum(1, dtype=np.float64))
+
+
+def train(pairs: DataFrame, noise: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """A model of the counted pairs, each of which is passed over `epochs` times.
+
+    In an epoch each task learns from its part of the pairs, which holds all or most of the pairs of a context; the moves of
+    a row are then averaged, weighted by how often the tasks met it.
+    """
+    spark = pairs.sparkSession
+    model = Model(noise)
+    kind = "id int, met double, moved array<float>"
+    for epoch in range(epochs):
+        shared = spark.sparkContext.broadcast(model)
+
+        def learn(batches, shared=shared, epoch=epoch):
+            model = None
+            held, size = [], 0
+            for batch in batches:
+                if model is None:
+                    model, met = copy.copy(shared.value), np.zeros(len(shared.value.w))
+                    model.w = model.w.copy()
+                held.append(batch)
+                size += len(batch)
+                if size >= CELLS:
+                    take(model, held, met, epoch)
+                    held, size = [], 0
+            if held and size:
+                take(model, held, met, epoch)
+            if model is not None:
+                use = np.flatnonzero(met)
+                for a in range(0, len(use), 1 << 14):
+                    i = use[a : a + (1 << 14)]
+                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(met[i]), rows.lists(np.full(len(i), DIM + 3), pa.array((model.w[i] - shared.value.w[i]).ravel()))], names=["id", "met", "moved"])
+
+        def take(model, held, met, epoch):
+            context, target, n = (np.concatenate([b.column(k).to_numpy() for b in held]).astype(np.int64) for k in range(3))
+            if len(n):
+                model.learn(context, target, n, met, epoch)
+
+        def merge(batches, height=len(model.w)):
+            slot, met, moved = np.full(height, -1), np.zeros(0), np.zeros((0, DIM + 3))
+            for batch in batches:
+                i, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                new = np.unique(i[slot[i] < 0])
+                slot[new] = len(met) + np.arange(len(new))
+                met, moved = np.append(met, np.zeros(len(new))), np.append(moved, np.zeros((len(new), DIM + 3)), 0)
+                np.add.at(met, slot[i], m)
+                np.add.at(moved, slot[i], batch.column(2).flatten().to_numpy().reshape(-1, DIM + 3) * m[:, None])
+            i = np.flatnonzero(slot >= 0)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(met[slot[i]]), rows.lists(np.full(len(i), DIM + 3), pa.array((moved[slot[i]] / met[slot[i], None]).astype(np.float32).ravel()))], names=["id", "met", "moved"])
+
+        found = pairs.mapInArrow(learn, kind).repartition("id").mapInArrow(merge, kind).select("id", "moved").toArrow()
+        if len(found):
+            model.w[found.column("id").to_numpy()] += found.column("moved").combine_chunks().flatten().to_numpy().reshape(-1, DIM + 3)
+        shared.unpersist()
+    shared = spark.sparkContext.broadcast(model)
+    step = max(1, min(1024, (1 << 24) // model.n))
+
+    def normalise(batches):
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                far, a = divmod(a, -(-(model_n + 1) // step))
+                i = far * (model_n + 1) + np.arange(a * step, min((a + 1) * step, model_n + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(shared.value.normaliser(i))], names=["id", "logz"])
+
+    model_n = model.n
+    found = spark.range(2 * -(-(model.n + 1) // step)).mapInArrow(normalise, "id int, logz double").toArrow()
+    model.logz[found.column("id").to_numpy()] = found.column("logz").to_numpy()
+    shared.unpersist()
+    return model
 
 
 def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
@@ -155,39 +274,43 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
             break
         held, least = held + of, c
     top = table.where(F.col("c") >= least).toArrow()
-    known = Symbols(top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy())
+    c = top.column("c").to_numpy()
+    own, classes = min(FREQUENT, len(c)), 1
+    known = Symbols(top.column("word").to_numpy().view(np.uint64), c, own, classes)
     symbols = spark.sparkContext.broadcast(known)
-    frequent = known.rank < FREQUENT
-    seen = np.zeros(FREQUENT + 1)
-    seen[known.rank[frequent]] = known.c[frequent]
-    other_n, other_v = n - int(seen.sum()), v - int(frequent.sum())
-    seen[FREQUENT] = other_n
+    rare = table.where(F.col("c") < least)
+    # tokens and types of each symbol
+    seen, kinds = np.zeros((2, known.n))
+    symbol = known.find(known.word)[0]
+    np.add.at(seen, symbol, known.c)
+    np.add.at(kinds, symbol, 1)
+    for i, of, v_ in rare.groupBy(F.col("word").bitwiseAND(F.lit(classes - 1).cast("long"))).agg(F.sum("c"), F.count("*")).collect():
+        seen[own + i] += of
+        kinds[own + i] += v_
     unigram = (seen + 1) / (seen + 1).sum()
-    pairs = pair_counts(texts, symbols)
-    models = [np.exp(train(p, unigram)).astype(np.float32) for p in pairs]
-    shared = spark.sparkContext.broadcast((unigram, models))
-    rest_share = np.log10(other_n + other_v + 1)
+    model = train(store.written(pair_counts(texts, symbols), "pairs"), unigram)
+    share = np.where(np.arange(known.n) >= own, np.log10(seen + kinds + 1), 0)
+    shared = spark.sparkContext.broadcast((unigram, share, model))
 
     def make():
         find = symbols.value
-        uni, (one, two) = shared.value
+        uni, share, model = shared.value
 
         def work(data, offsets):
             h, first = tokens(data, offsets)
             symbol, c = find.find(h)
-            before = contexts(symbol, first)
-            p = MIX[0] * uni[symbol] + MIX[1] * one[before[0], symbol].astype(float) + MIX[2] * two[before[1], symbol].astype(float)
-            model = np.log10(p) - np.where(symbol == FREQUENT, rest_share, 0) + np.where((symbol == FREQUENT) & (c > 0), np.log10(np.maximum(c, 0) + 1), 0)
+            before = contexts(symbol, first, find.n)
+            p = MIX[0] * uni[symbol] + sum(m * np.exp(model.log_p(k, b, symbol)) for k, (m, b) in enumerate(zip(MIX[1:], before, strict=True)))
+            modelled = np.log10(p) - share[symbol] + np.where((symbol >= find.own) & (c > 0), np.log10(np.maximum(c, 0) + 1), 0)
             text = np.repeat(np.arange(len(first) - 1), np.diff(first))
             rest = c < 0
             m = len(first) - 1
-            sums = [np.bincount(text, x, minlength=m) for x in (np.log10(np.maximum(c, 0) + 1), model)]
+            sums = [np.bincount(text, x, minlength=m) for x in (np.log10(np.maximum(c, 0) + 1), modelled)]
             return [pa.array(np.diff(first)), pa.array(np.bincount(text[~rest], minlength=m)), *map(pa.array, sums), rows.lists(np.bincount(text[rest], minlength=m), pa.array(h[rest].view(np.int64)))]
 
         return work
 
     scored = store.written(rows.with_result(docs, text, PARTS, make).withColumn("key", F.monotonically_increasing_id()), "scored")
-    rare = table.where(F.col("c") < least)
     late = scored.select("key", F.explode("res.rest").alias("word")).groupBy("key", "word").agg(F.count("*").alias("n")).join(rare, "word").groupBy("key").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("late"))
     both = scored.join(late, "key", "left")
     late = F.coalesce("late", F.lit(0.0))

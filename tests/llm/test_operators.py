@@ -133,6 +133,19 @@ def test_language_counts(docs):
         assert r.n_tokens == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) + 1 and r.score < 0 and r.base_score < 0
     assert language.score(docs.where("doc_id = 99"), docs.doc_id.isNotNull()).count() == 0
 
+def test_language_trains_on_all_pairs(spark):
+    # three million pairs, more than any fixed number of draws made; each context has one target
+    n = 3000
+    target = np.random.default_rng(1).permutation(n)
+    pairs = spark.createDataFrame([(k * (n + 1) + i, k * n + int(target[i]), 500) for k in (0, 1) for i in range(n)], "context int, target int, n long").repartition(4, "context")
+    model = language.train(pairs, np.full(n, 1 / n))
+    for k in (0, 1):
+        assert (model.log_p(k, np.arange(n), target) > np.log(2 / n)).mean() > 0.99
+    total = np.zeros(3)
+    for t in range(n):
+        total += np.exp(model.log_p(0, np.array([0, 7, n]), np.full(3, t)))
+    assert np.allclose(total, 1, atol=1e-3)
+
 
 def test_vectors_by_brute_force(spark):
     rng = np.random.default_rng(4)
