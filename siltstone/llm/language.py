@@ -1,7 +1,8 @@
 """LM scoring with a log-bilinear neural model trained in numpy by noise-contrastive estimation.
 
-Spark counts every token of all training texts, and every pair of tokens one and two places apart over the `FREQUENT` commonest (the others are
-one symbol, the start of a text is another). The pair table
+Spark counts every token of all training texts, and every pair of tokens one and two places apart over the symbols: a word of `LEAST` or more occurrences
+is one of its own, as far as the max(`OWN`, 4 sqrt(tokens)) commonest go; all other words are dealt by hash over a power of two
+of classes, which grows alike, and the start of a text is a symbol. The pair table
 stays in Spark. For each of the two distances a log-bilinear model (context vectors, target vectors, target biases) is trained
 by noise-contrastive estimation with unigram noise: Spark tasks pass over all pairs counted, weighted by their counts, `EPOCHS`
 times, and their moves are averaged after each. Tasks then normalise it exactly, a batch of contexts at a time over all targets.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import rows, store, textvec
 
-FREQUENT, TABLE, DIM = 1024, 1 << 18, 40
+OWN, LEAST, TABLE, DIM = 8192, 3, 1 << 18, 40
 #: Passes over the pair table, and pairs a task holds at once.
 EPOCHS, CELLS = 2, 1 << 21
 #: Parts of the mixture: unigram, distance 1, distance 2.
@@ -267,15 +268,17 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     texts = docs.where(training).select(F.col(f"`{text}`").cast("string"))
     table = store.written(counts(texts), "counts")
     n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # the lowest count that at most TABLE words reach
-    held, least = 0, 1 << 62
-    for c, of in table.groupBy("c").count().orderBy(F.desc("c")).limit(TABLE).collect():
-        if held + of > TABLE:
+    limit = max(OWN, int(4 * n**0.5))
+    # the lowest count that at most `held_most` words reach
+    held, least, held_most = 0, 1 << 62, max(TABLE, limit)
+    for c, of in table.groupBy("c").count().orderBy(F.desc("c")).limit(held_most).collect():
+        if held + of > held_most:
             break
         held, least = held + of, c
     top = table.where(F.col("c") >= least).toArrow()
     c = top.column("c").to_numpy()
-    own, classes = min(FREQUENT, len(c)), 1
+    own = min(limit, int((c >= LEAST).sum()))
+    classes = 1 << max(6, (own // 4).bit_length())
     known = Symbols(top.column("word").to_numpy().view(np.uint64), c, own, classes)
     symbols = spark.sparkContext.broadcast(known)
     rare = table.where(F.col("c") < least)

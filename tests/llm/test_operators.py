@@ -147,6 +147,17 @@ def test_language_trains_on_all_pairs(spark):
     assert np.allclose(total, 1, atol=1e-3)
 
 
+def test_language_knows_words_beyond_the_commonest(spark):
+    # 4,000 words of equal counts; each even one is followed by its odd one
+    rng = np.random.default_rng(2)
+    texts = [(k, " ".join(f"v{2 * i} v{2 * i + 1}" for i in rng.integers(0, 2000, 500))) for k in range(80)]
+    tests = [(10000 + i, f"v{2 * i} v{2 * i + 1}") for i in range(2000)] + [(20000 + i, f"v{2 * i} v{2 * ((i + 9) % 2000) + 1}") for i in range(2000)]
+    docs = spark.createDataFrame(texts + tests, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in language.score(docs, docs.doc_id < 10000).select("row.doc_id", "score").collect()}
+    gain = np.array([found[10000 + i] - found[20000 + i] for i in range(2000)])
+    assert gain.mean() > 0.3 and (gain > 0).mean() > 0.9
+
+
 def test_vectors_by_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
