@@ -4,8 +4,8 @@ Every page is parsed once. The main element is the largest <article> outside boi
 else the body. Inside it, elements that markup itself marks as menus, headers, footers, sidebars, notices,
 adverts, forms, scripts or comments go (by tag, or by a word of class, id or role). The subtrees of the
 remaining containers are hashed; Spark counts for each host in how many different main texts each hash
-occurs, and a container that recurs in at least `least` of them and `share` of the host's is a template and
-goes too. Paragraphs and headings of the article's own flow are never counted, so a passage that many
+occurs, and a container that recurs in at least `least` of them and `share` of the host's, or in `enough` of
+them however large the host is, is a template and goes too. Paragraphs and headings of the article's own flow are never counted, so a passage that many
 articles quote stays.
 
 Texts are blocks joined by a newline; white space inside a block is one space, character references are
@@ -184,7 +184,7 @@ def host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", least: int = 3, share: float = 0.1) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", least: int = 3, share: float = 0.1, enough: int = 30) -> DataFrame:
     """Columns row (all of pages) and text."""
     parsed = store.written(rows.with_result(pages, html, PARSED, lambda: parser()).select("row", "res", host(f"row.{url}").alias("host")), "pages")
     key = F.xxhash64("host", "res.main")
@@ -192,7 +192,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", least: int =
     used = parsed.select("host", F.col("res.main").alias("main"), F.explode(F.array_distinct(F.flatten("res.owners"))).alias("subtree"))
     counted = used.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     mains = parsed.select("host", F.col("res.main").alias("main")).distinct().groupBy("host").agg(F.count("*").alias("of"))
-    templates = counted.where(F.col("n") >= least).join(mains, "host").where(F.col("n") >= F.col("of") * share).select("host", "subtree")
+    templates = counted.where(F.col("n") >= least).join(mains, "host").where((F.col("n") >= F.col("of") * share) | (F.col("n") >= enough)).select("host", "subtree")
     gone = used.join(templates, ["host", "subtree"], "left_semi").groupBy(F.xxhash64("host", "main").alias("key")).agg(F.collect_set("subtree").alias("gone"))
     kept = F.filter(F.arrays_zip(F.col("res.blocks").alias("block"), F.col("res.owners").alias("owner")), lambda x: F.col("gone").isNull() | ~F.arrays_overlap(x["owner"], F.col("gone")))
     return parsed.withColumn("key", key).join(gone, "key", "left").select("row", F.array_join(F.transform(kept, lambda x: x["block"]), "\n").alias("text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import regex
 
-from siltstone.llm import bpe, decontaminate, language, minhash, registry, repair, substrings, vectors
+from siltstone.llm import bpe, decontaminate, html, language, minhash, registry, repair, substrings, vectors
 
 SCHEMA = "doc_id long, text string, row string, res string, spans int"
 PATH = registry.byte_bpe()
@@ -175,6 +175,12 @@ def test_vectors_by_brute_force(spark):
     assert found[900].component_id == found[3].component_id
 
 
+def test_html_templates_of_a_large_host(spark):
+    pages = [(i, "http://a.b/" + str(i), f"<body><p>text {i}</p>" + ("<div>the same block</div>" if i < 40 else "<div>two of them</div>" if i < 42 else "") + "</body>") for i in range(600)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).select("row.page_id", "text").collect()}
+    assert found == {i: f"text {i}" + ("\ntwo of them" if 40 <= i < 42 else "") for i in range(600)}
+
+
 def test_digests(spark):
     sf = "/root/testdata/sf0.001"
     t = bpe.tokenizer(PATH)
