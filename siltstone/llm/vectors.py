@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each vector is described by its `nearest` reference points (pivots, drawn from a bounded sample of the vectors).
+Each vector is described by its 6 to 8 `nearest` reference points (pivots, drawn from a bounded sample of the vectors).
 Vectors that share at least three of them meet in an inverted list, one list for each three pivots; there the
 cosine of every two is computed in double precision. A pair that meets in several lists is counted in the one
 of its three lowest shared pivots only. Lists longer than `block` are dealt out by pairs of blocks, so no task
@@ -8,7 +8,8 @@ holds a whole long list, and none is capped. Only link counts and a spanning for
 
 Equal vectors are one node with a multiplicity. Vectors that are null, zero or hold null or non-finite components
 link with nothing. The number of pivots grows with the cube root of the number of vectors, 64 to 2048, so lists
-keep their length. Measured recall against brute force on clustered vectors (64 dimensions): over 0.999.
+keep their length. Simulated recall of isotropic pairs (64 dimensions) at cosine 0.95: 0.98 with 130 pivots, 0.985 with
+600, 0.977 with 2048.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import components, store
 
-COSINE, NEAREST, SHARED, BLOCK = 0.95, 5, 3, 512
-TRIPLES = np.array(list(itertools.combinations(range(NEAREST), SHARED)))
+COSINE, SHARED, BLOCK = 0.95, 3, 512
+
+
+def nearest(pivots: int) -> int:
+    """How many nearest pivots describe a vector: more where pivots lie closer, so that recall at the threshold doesn't fall."""
+    return 6 if pivots <= 256 else 7 if pivots <= 1024 else 8
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -44,13 +49,13 @@ def described(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
             size = batch.column(2).to_numpy()
             for d in np.unique(size):
                 part = batch.filter(pa.array(size == d))
-                v = matrix(part.column(3))
+                v, most = matrix(part.column(3)), nearest(len(shared.value[d]))
                 v /= np.sqrt((v * v).sum(1))[:, None]
                 near = v @ shared.value[d].T
-                top = np.sort(np.argsort(-near, axis=1, kind="stable")[:, :NEAREST], axis=1)
-                if top.shape[1] < NEAREST:  # so few vectors that all share one list
-                    top = np.broadcast_to(np.arange(NEAREST), (len(v), NEAREST))
-                keys = code(top[:, TRIPLES]) | int(d) << 40
+                top = np.sort(np.argsort(-near, axis=1, kind="stable")[:, :most], axis=1)
+                if top.shape[1] < most:  # so few vectors that all share one list
+                    top = np.broadcast_to(np.arange(most), (len(v), most))
+                keys = code(top[:, list(itertools.combinations(range(most), SHARED))]) | int(d) << 40
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel().astype(t))) for x, t in ((top, np.int32), (keys, np.int64))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=["node", "copies", "size", "vector", "top", "keys"])
 

@@ -175,6 +175,18 @@ def test_vectors_by_brute_force(spark):
     assert found[900].component_id == found[3].component_id
 
 
+def test_vectors_recall_with_many_pivots(spark):
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    for m in (64, 600, 2048):
+        pivots, a = unit(rng.normal(size=(m, 64))), unit(rng.normal(size=(600, 64)))
+        o = rng.normal(size=a.shape)
+        b = 0.95 * a + (1 - 0.95**2) ** 0.5 * unit(o - (o * a).sum(1)[:, None] * a)
+        nodes = spark.createDataFrame([(i, 1, 64, x.tolist()) for i, x in enumerate(np.concatenate([a, b]))], "node long, copies long, size int, vector array<double>")
+        keys = {r.node: set(r.keys) for r in vectors.described(nodes, {64: pivots}).select("node", "keys").collect()}
+        assert np.mean([bool(keys[i] & keys[600 + i]) for i in range(600)]) > 0.9
+
+
 def test_html_templates_of_a_large_host(spark):
     pages = [(i, "http://a.b/" + str(i), f"<body><p>text {i}</p>" + ("<div>the same block</div>" if i < 40 else "<div>two of them</div>" if i < 42 else "") + "</body>") for i in range(600)]
     found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).select("row.page_id", "text").collect()}
