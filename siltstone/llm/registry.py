@@ -25,8 +25,8 @@ def byte_bpe() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe())
-    decoded = bpe.decode(coded.select(F.col("row.doc_id").alias("doc_id"), "ids"), byte_bpe())
+    coded = bpe.encode(table(spark, sf_dir, "documents"), byte_bpe(), carry=["doc_id"])
+    decoded = bpe.decode(coded.select("row.doc_id", "ids"), byte_bpe())
     return decoded.select("row.doc_id", (F.octet_length("row.ids") / 4).cast("long").alias("n_tokens"), F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2(F.col("res.text").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 2 << 20
+#: Bytes of text handled at once, so that working arrays stay in a core's cache; a longer document is handled alone.
+SLICE_BYTES = 512 << 10
+#: Longer words are hashed by xxh3: sums of powers of an odd base are weak on long words of few letters.
+LONG_WORD = 32
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95 | 1
@@ -114,10 +117,28 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return hash_ranges(prefix(_BYTE_CODES[data]), starts, ends)
+    h = hash_ranges(prefix(_BYTE_CODES[data]), starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
+
+
+def hash_sequences(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of all codes of each text (codes[first[k]:first[k + 1]]), however long."""
+    raw, cut = memoryview(np.ascontiguousarray(codes).view(np.uint8)), (8 * first).tolist()
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], np.uint64)
 
 
 def hash_text(text: bytes) -> int:
     """The same hash for one word, for tables built on the driver."""
     data = np.frombuffer(text, np.uint8)
     return int(hash_words(data, np.array([0]), np.array([len(data)]))[0])
+
+
+def expand(slot: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Places in a flat array of the parts slot[0], slot[1], ... where part k lies at start[k]:start[k + 1]."""
+    n = start[slot + 1] - start[slot]
+    end = np.cumsum(n)
+    return np.repeat(start[slot] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)

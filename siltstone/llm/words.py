@@ -75,3 +75,59 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def hashes(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return textvec.hash_words(data, borders[:-1], borders[1:]).view(np.int64)
+
+
+class Places:
+    """Distinct hashes, numbered 0, 1, ... as they come, in an open-addressed table that grows."""
+
+    def __init__(self, bits: int = 12):
+        self.slots, self.hashes, self.n = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits - 1, np.int64), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out, mask = np.full(len(h), -1, np.int32), len(self.slots) - 1
+        live, at = np.arange(len(h)), h & mask
+        while len(live):
+            slot = self.slots[at]
+            full = slot >= 0
+            hit = full & (self.hashes[slot] == h)
+            out[live[hit]] = slot[hit]
+            full &= ~hit
+            live, at, h = live[full], at[full] + 1 & mask, h[full]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers new hashes, each given once."""
+        n = self.n + len(h)
+        if n > len(self.hashes):
+            grown = Places(n.bit_length() + 1)
+            grown.add(np.concatenate([self.hashes[: self.n], h]))
+            self.slots, self.hashes, self.n = grown.slots, grown.hashes, grown.n
+            return
+        mask = len(self.slots) - 1
+        live, at = np.arange(self.n, n, dtype=np.int32), h & mask
+        self.hashes[self.n : n] = h
+        self.n = n
+        while len(live):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = live[free]
+            lost = self.slots[at] != live
+            live, at = live[lost], at[lost] + 1 & mask
+
+
+class Counts(Places):
+    """Distinct hashes and how often each came."""
+
+    def __init__(self):
+        super().__init__()
+        self.c = np.zeros(0, np.int64)
+
+    def take(self, h: np.ndarray) -> np.ndarray:
+        """Counts hashes; gives the places in h of those not seen before, once each, in the order of their numbers."""
+        place = self.find(h)
+        new = np.flatnonzero(place < 0)
+        late, slot, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+        place[new] = self.n + inverse
+        self.add(late)
+        self.c = np.append(self.c, np.zeros(len(late), np.int64)) + np.bincount(place, minlength=self.n)
+        return new[slot]
