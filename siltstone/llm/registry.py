@@ -59,7 +59,9 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe())
+    docs = repair.in_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # each worker learns its words: the documents are dealt out and encoded in one pass
+    coded = bpe.encode(docs, byte_bpe(), counted=False, carry=["doc_id"])
     end = (2).to_bytes(4, "little")
     coded = store.written(coded.select("row.doc_id", F.concat("ids", F.lit(end)).alias("ids")), "ids")
     found = repair.read(repair.write(coded))

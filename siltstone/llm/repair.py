@@ -3,30 +3,36 @@
 Documents lie in ascending id order, cut into shards of about `shard_tokens` ids. In each shard frequent
 neighbours are replaced by nonterminals until no pair occurs `least` times; the shard's blob stores the
 rules, their expansion lengths, the remaining sequence and where each document starts, so one document
-is decoded by expanding only the symbols that cover it. Blobs are rows (part, shard, n_tokens, blob) of a
-Parquet data set, which gives commits and retries that survive lost executors.
+is decoded by expanding only the symbols that cover it. Blobs are rows (part, shard, start, n_tokens, blob) of a
+Parquet data set, which gives commits and retries that survive lost executors; start counts the ids of the part's
+earlier shards, so that one number for each part places every document.
 
 Blob: "RPG1", then as little-endian int64 the counts (documents, rules, symbols, first nonterminal), the
 document ids, null flags (1 byte each), document starts (one more at the end) as int64, then as uint32
 the rules' left and right symbols, expansion lengths, and the sequence.
 
-Null ids come first; rows of one id are ordered by a hash of their tokens; an empty document has no ids
-unless an end id is appended.
+Null ids come first; rows of one id are ordered by a hash of their texts; an empty document has no ids unless an
+end id is appended; a document longer than a shard is a shard of its own. An empty table has no shards and no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import store
+from . import store, textvec
 
 MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 20
 LEAST = 16
-BLOBS = "part int, shard int, n_tokens long, blob binary"
+#: Buckets in which neighbours are first counted, as bits: few enough for a core's cache.
+BUCKETS = 18
+BLOBS = "part int, shard int, start long, n_tokens long, blob binary"
 DOCS = "doc_id long, start long, ids binary"
 
 
@@ -107,7 +113,10 @@ class Shard:
         n[rule] = self.lengths[symbols[rule] - self.base]
         return n
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+    @functools.cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each symbol expands to, one after the other, and where each begins."""
+        symbols = np.arange(self.base, self.base + len(self.left), dtype=np.uint32)
         while (rule := symbols >= self.base).any():
             to = np.arange(len(symbols)) + np.cumsum(rule) - rule
             out = np.empty(len(symbols) + int(rule.sum()), np.uint32)
@@ -115,7 +124,11 @@ class Shard:
             k = symbols[rule] - self.base
             out[to[rule]], out[to[rule] + 1] = self.left[k], self.right[k]
             symbols = out
-        return symbols
+        return np.concatenate([np.arange(self.base, dtype="<u4"), symbols]), np.concatenate([np.arange(self.base + 1), self.base + np.cumsum(self.lengths.astype(np.int64))])
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        flat, start = self.table
+        return flat[textvec.expand(symbols, start)]
 
     def span(self, start: int, end: int) -> np.ndarray:
         """Ids start:end of the shard; only the symbols that cover them are expanded."""
@@ -125,13 +138,17 @@ class Shard:
     def document(self, k: int) -> np.ndarray:
         return self.span(int(self.starts[k]), int(self.starts[k + 1]))
 
+def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs in ascending order of id, within and across partitions; rows that repeat an id and a text may fill several."""
+    keys = [F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.monotonically_increasing_id().alias("at")]
+    order = [F.col("id").asc_nulls_first(), "key", "at"]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(F.struct("*").alias("row"), *keys).repartitionByRange(n, *order).sortWithinPartitions(*order).select("row.*")
+
+
 
 def write(coded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Writes shards in ascending id order and gives the files as a table (part, shard, n_tokens, blob)."""
-    spark = coded.sparkSession
-    table = coded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = table.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), "ids")
+    """Writes shards of rows that lie in ascending id order (see in_order) and gives the files as a table (part, shard, start, n_tokens, blob)."""
 
     def run(batches):
         part, shard, names, tokens, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -156,12 +173,17 @@ def write(coded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", shard_toke
 
 def read(files: DataFrame) -> DataFrame:
     """Columns doc_id, start (ids before it in all shards) and ids of each document, decoded from the files."""
+    # one number a part, and parts are no more than shuffle partitions
+    totals = sorted(map(tuple, files.groupBy("part").agg(F.sum("n_tokens")).collect()))
+    before = dict(zip([p for p, _ in totals], itertools.accumulate((n for _, n in totals), initial=0)))
+    shared = files.sparkSession.sparkContext.broadcast(before)
 
     def run(batches):
         for batch in batches:
             for base, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = Shard(blob.as_py())
-                whole, n = s.expand(s.sequence).astype("<u4"), len(s.ids)
+                raw, base, n = s.expand(s.sequence).astype("<u4").tobytes(), shared.value[part] + start, len(s.ids)
+                cut = (4 * s.starts).tolist()
                 for a in range(0, n, 1024):
                     b = min(a + 1024, n)
                     yield pa.RecordBatch.from_arrays(
