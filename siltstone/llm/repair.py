@@ -23,7 +23,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import store, textvec
 
@@ -38,28 +38,27 @@ DOCS = "doc_id long, start long, ids binary"
 
 def compress(seq: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First nonterminal, rules' left and right symbols, expansion lengths of the rules, and the sequence left."""
-    seq = seq.astype(np.uint64)
+    seq = seq.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 0
     left, right = [], []
-    mask = np.uint64((1 << 20) - 1)
     made = 0
+
+    def frequent(h, counts, level):
+        """Where pairs stand whose buckets hold `level` or more, the pairs, which stands where, and which are frequent themselves."""
+        at = np.flatnonzero((counts >= level)[h])
+        pairs, which, n = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
+        return at, pairs, which, n >= level
+
     while len(seq) > 1:
-        key = seq[:-1] << np.uint64(32) | seq[1:]
-        h = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & mask
-        counts = np.bincount(h.astype(np.int64), minlength=1 << 20)
+        h = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS)
+        counts = np.bincount(h, minlength=1 << BUCKETS)
         # a bucket's count bounds its pairs' counts; those that can be frequent are counted exactly
         level = max(least, int(counts.max()) // 8)
-        at = np.flatnonzero(counts[h] >= level)
-        pairs, which, n = np.unique(key[at], return_inverse=True, return_counts=True)
-        good = n >= level
+        at, pairs, which, good = frequent(h, counts, level)
+        if not good.any() and level > least:
+            at, pairs, which, good = frequent(h, counts, least)
         if not good.any():
-            if level == least:
-                break
-            at = np.flatnonzero(counts[h] >= least)
-            pairs, which, n = np.unique(key[at], return_inverse=True, return_counts=True)
-            good = n >= least
-            if not good.any():
-                break
+            break
         rule = np.cumsum(good) - 1
         use = good[which]
         at, rule = at[use], rule[which[use]]
@@ -69,11 +68,11 @@ def compress(seq: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.n
         at, rule = at[even], rule[even]
         left.append(pairs[good] >> np.uint64(32))
         right.append(pairs[good] & np.uint64(0xFFFFFFFF))
-        seq[at] = (rule + base + made).astype(np.uint64)
+        seq[at] = (rule + base + made).astype(np.uint32)
         seq = np.delete(seq, at + 1)
         made += int(good.sum())
     left, right = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
-    return base, left.astype(np.uint32), right.astype(np.uint32), lengths(base, left, right), seq.astype(np.uint32)
+    return base, left.astype(np.uint32), right.astype(np.uint32), lengths(base, left, right), seq
 
 
 def lengths(base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -138,6 +137,7 @@ class Shard:
     def document(self, k: int) -> np.ndarray:
         return self.span(int(self.starts[k]), int(self.starts[k + 1]))
 
+
 def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs in ascending order of id, within and across partitions; rows that repeat an id and a text may fill several."""
     keys = [F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.monotonically_increasing_id().alias("at")]
@@ -146,29 +146,29 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.struct("*").alias("row"), *keys).repartitionByRange(n, *order).sortWithinPartitions(*order).select("row.*")
 
 
-
 def write(coded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes shards of rows that lie in ascending id order (see in_order) and gives the files as a table (part, shard, start, n_tokens, blob)."""
 
     def run(batches):
-        part, shard, names, tokens, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, shard, start, names, tokens, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.int64()), pa.array([pack(names, tokens)], pa.binary())], names=["part", "shard", "n_tokens", "blob"])
+            row = (part, shard, start, held, pack(names, tokens))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "shard", "start", "n_tokens", "blob"])
 
         for batch in batches:
-            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = np.frombuffer(b or b"", "<u4")
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = np.frombuffer(b.as_py() or b"", "<u4")
                 if held and held + len(t) > shard_tokens:
                     yield out()
-                    shard, names, tokens, held = shard + 1, [], [], 0
+                    shard, start, names, tokens, held = shard + 1, start + held, [], [], 0
                 names.append(i)
                 tokens.append(t)
                 held += len(t)
         if names:
             yield out()
 
-    return store.written(ranged.mapInArrow(run, BLOBS), "shards")
+    return store.written(coded.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{ids}`")).mapInArrow(run, BLOBS), "shards")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -180,24 +180,12 @@ def read(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for base, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, start, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = Shard(blob.as_py())
                 raw, base, n = s.expand(s.sequence).astype("<u4").tobytes(), shared.value[part] + start, len(s.ids)
                 cut = (4 * s.starts).tolist()
                 for a in range(0, n, 1024):
                     b = min(a + 1024, n)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(s.ids[a:b], pa.int64()), pa.array(s.starts[a:b] + base), pa.array([whole[s.starts[k] : s.starts[k + 1]].tobytes() for k in range(a, b)], pa.binary())],
-                        names=["doc_id", "start", "ids"],
-                    )
-
-    # one number a part and one a shard: parts are no more than shuffle partitions
-    before, total = {}, 0
-    for part, n in sorted(map(tuple, files.groupBy("part").agg(F.sum("n_tokens")).collect())):
-        before[part] = total
-        total += n
-    base = F.create_map(*[F.lit(x).cast(k) for p, v in before.items() for x, k in ((p, "int"), (v, "long"))]) if before else F.create_map().cast("map<int,bigint>")
-    w = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = files.select("part", "shard", (F.coalesce(F.sum("n_tokens").over(w), F.lit(0)) + base[F.col("part")]).alias("base"))
-    # the compressed blobs meet their bases; what they expand to is not shuffled
-    return files.select("part", "shard", "blob").join(shards, ["part", "shard"]).select("base", "blob").mapInArrow(run, DOCS)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.ids[a:b], pa.int64()), pa.array(s.starts[a:b] + base), pa.array([raw[cut[k] : cut[k + 1]] for k in range(a, b)], pa.binary())], names=["doc_id", "start", "ids"])
+
+    return files.select("part", "start", "blob").mapInArrow(run, DOCS)
