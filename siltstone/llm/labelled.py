@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -23,3 +26,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limi
         part = one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         picked = part if picked is None else picked.unionByName(part)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y")
+
+
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and where each row's begin (one more at the end)."""
+    column = column.combine_chunks()
+    cut = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), cut
+
+
+def order(y: np.ndarray, cut: np.ndarray, *values: np.ndarray) -> list[int]:
+    """The rows in an order of their content alone: by length, a hash of their values, and label."""
+    key = lambda i: (int(cut[i + 1] - cut[i]), *(xxhash.xxh3_64_intdigest(np.ascontiguousarray(v[cut[i] : cut[i + 1]])) for v in values), int(y[i]))
+    return sorted(range(len(y)), key=key)

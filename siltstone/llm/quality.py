@@ -94,19 +94,21 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
 
         return work
 
-    table = rows.with_result(labelled.sample(docs, labels, label, allowed, limit), "text", FEATURES, make).select("row.y", "res.bucket", "res.value").toArrow()
+    table = rows.with_result(labelled.sample(docs, labels, label, allowed, limit), "text", FEATURES, make, carry=["y"]).select("row.y", "res.bucket", "res.value").toArrow()
     both = labels.where(allowed & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    examples = sorted(((np.array(b), np.array(v, float), y) for y, b, v in zip(*(table.column(c).to_pylist() for c in ("y", "bucket", "value")), strict=True)), key=lambda e: (len(e[0]), e[0].tobytes(), e[1].tobytes(), e[2]))
-    if not examples:
+    if not table.num_rows or both is None:
         return np.zeros((1 << BITS) + 1)
     if both in (0, 1):
         return np.append(np.zeros(1 << BITS), 4.0 if both else -4.0)
-    model = Ftrl().fit(examples, both)
-    return model.weights(slice(None))
+    y = table.column("y").to_numpy()
+    (bucket, cut), (value, _) = (labelled.flat(table.column(c)) for c in ("bucket", "value"))
+    # rows stay slices of two flat arrays
+    examples = [(bucket[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]], int(y[i])) for i in labelled.order(y, cut, bucket, value)]
+    return Ftrl().fit(examples, both).weights(slice(None))
 
 
-def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """Columns row (all of docs) and res.score in 0 to 1."""
+def score(docs: DataFrame, weights: np.ndarray, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Columns row (all of docs, or those of carry) and res.score in 0 to 1."""
     weights = weights.astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # a fixed size: 2**BITS + 1
 
@@ -120,4 +122,4 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
 
         return work
 
-    return rows.with_result(docs, text, SCORE, make)
+    return rows.with_result(docs, text, SCORE, make, carry=carry)

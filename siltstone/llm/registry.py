@@ -84,7 +84,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.fit(docs, table(spark, sf_dir, "labels"), labelled.remainder("doc_id", 3) != 1)
-    return classified(quality.score(docs, weights), lambda c: labelled.remainder(c, 3) == 1)
+    return classified(quality.score(docs, weights, carry=["doc_id"]), lambda c: labelled.remainder(c, 3) == 1)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
