@@ -54,7 +54,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = html.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
