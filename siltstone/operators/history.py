@@ -1,40 +1,153 @@
-"""Merges and slowly changing dimensions as declarative joins: no driver loops, one shuffle of each side on the key."""
+"""Merges and slowly changing dimensions as declarative joins: no driver loops, one shuffle of each side on the key.
+
+Keys are compared null-safely, so a null key is a key. A source that repeats a key makes the job fail. The functions over
+frames give frames; those over tables commit to them, write again only the files that hold changed keys, and commit
+nothing where nothing changes.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..sources.folders import Folder, working
+from ..sources.lake import LakeTable, same
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Type 1: source rows replace target rows of their key, others are added. Source keys must be unique."""
-    same = reduce(lambda a, b: a & b, (F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys))
-    both = target.withColumn("_t", F.lit(True)).alias("t").join(source.withColumn("_s", F.lit(True)).alias("s"), same, "full_outer")
-    return both.select(*[F.when(F.col("s._s"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in target.columns])
+
+def once(source: DataFrame, keys: list[str]) -> DataFrame:
+    """source, which fails when run if a key occurs twice."""
+    named = source.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.struct("*").alias("row"))
+    found = named.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"), F.any_value("row").alias("row"))
+    return found.where(F.assert_true(F.col("n") == 1, f"the merge source repeats a key of {keys}").isNull()).select("row.*")
 
 
 def changed(columns: list[str], a: str, b: str) -> Column:
     """Whether any column differs, null-safely."""
-    return reduce(lambda x, y: x | y, (~F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns))
+    return reduce(lambda x, y: x | y, (~F.col(f"{a}.`{c}`").eqNullSafe(F.col(f"{b}.`{c}`")) for c in columns), F.lit(False))
+
+
+def joined(target: DataFrame, source: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Structs t and s of the rows that meet on the keys; a side that is missing is null."""
+    return target.select(F.struct("*").alias("t")).join(once(source, keys).select(F.struct("*").alias("s")), same("t", "s", keys), how)
+
+
+def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """Type 1: source rows replace target rows of their key, others are added."""
+    both = joined(target, source, keys, "full_outer")
+    return both.select(*[F.when(F.col("s").isNotNull(), F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) for c in target.columns])
 
 
 def snapshot(history: DataFrame, source: DataFrame, keys: list[str], tracked: list[str]) -> DataFrame:
     """Type 2 in a single pass: history has version and is_current; changed keys are closed and reopened, new keys opened."""
-    same = reduce(lambda a, b: a & b, (F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys)) & F.col("t.is_current")
-    both = history.withColumn("_t", F.lit(True)).alias("t").join(source.withColumn("_s", F.lit(True)).alias("s"), same, "full_outer")
-    has_t, has_s = F.col("t._t").isNotNull(), F.col("s._s").isNotNull()
+    both = history.select(F.struct("*").alias("t")).join(once(source, keys).select(F.struct("*").alias("s")), same("t", "s", keys) & F.col("t.is_current"), "full_outer")
+    has_t, has_s = F.col("t").isNotNull(), F.col("s").isNotNull()
     moved = has_t & has_s & changed(tracked, "t", "s")
     columns = [*keys, *tracked]
-    old = F.struct(*[F.col(f"t.{c}") for c in columns], F.col("t.version").alias("version"), (F.col("t.is_current") & ~moved).alias("is_current"))
-    new = F.struct(*[F.col(f"s.{c}") for c in columns], (F.coalesce("t.version", F.lit(0)) + 1).alias("version"), F.lit(True).alias("is_current"))
-    rows = F.filter(F.array(F.when(has_t, old), F.when(has_s & (moved | ~has_t), new)), lambda x: x.isNotNull())
+    old = F.struct(*[F.col(f"t.`{c}`").alias(c) for c in columns], F.col("t.version").alias("version"), (F.col("t.is_current") & ~moved).alias("is_current"))
+    new = F.struct(*[F.col(f"s.`{c}`").alias(c) for c in columns], (F.coalesce("t.version", F.lit(0)) + 1).alias("version"), F.lit(True).alias("is_current"))
+    rows = F.array_compact(F.array(F.when(has_t, old), F.when(has_s & (moved | ~has_t), new)))
     return both.select(F.explode(rows).alias("row")).select("row.*")
 
 
-def from_changes(feed: DataFrame, keys: list[str], tracked: list[str], sequence: list[str], at: str) -> DataFrame:
+def from_changes(feed: DataFrame, keys: list[str], tracked: list[str], sequence: list[str], at: str, start: str = "start_at", end: str = "end_at") -> DataFrame:
     """Type 2 from a change feed in any order: a row for each real change, open until the next one."""
-    w = Window.partitionBy(*keys).orderBy(*sequence)
+    w = Window.partitionBy(*[F.col(f"row.`{k}`") for k in keys]).orderBy(*[F.col(f"row.`{c}`") for c in sequence])
     first = F.row_number().over(w) == 1
-    real = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.lag(c).over(w)) for c in tracked), first)
-    return feed.withColumn("_real", real).where("_real").select(*keys, *tracked, F.col(at).alias("start_at"), F.lead(at).over(w).alias("end_at"))
+    real = reduce(lambda a, b: a | b, (~F.col(f"row.`{c}`").eqNullSafe(F.lag(F.col(f"row.`{c}`")).over(w)) for c in tracked), first)
+    seen = feed.select(F.struct("*").alias("row")).withColumn("real", real).where("real")
+    return seen.select(*[F.col(f"row.`{c}`").alias(c) for c in (*keys, *tracked)], F.col(f"row.`{at}`").alias(start), F.lead(F.col(f"row.`{at}`")).over(w).alias(end))
+
+
+class Staged:
+    """Rows that a merge reads several times, written to the shared folder meanwhile."""
+
+    def __init__(self, spark: SparkSession, df: DataFrame):
+        self.path = working(spark, "merge")
+        df.write.parquet(self.path)
+        self.rows = spark.read.schema(df.schema).parquet(self.path)
+        self.spark = spark
+
+    def __enter__(self) -> DataFrame:
+        return self.rows
+
+    def __exit__(self, *_) -> None:
+        Folder(self.spark, self.path).delete()
+
+
+def typed(table: LakeTable, at: str, given: list[str]) -> list[Column]:
+    return [F.col(f"{at}.`{c}`").cast(k).alias(c) for c, k in table.state().schema.items() if c in given]
+
+
+def merge_scd1(table: LakeTable, source: DataFrame, keys: list[str], audit: dict[str, Column] | None = None, only_changed: bool = True) -> dict[str, int]:
+    """Source rows replace target rows of their key or are added; `audit` columns (such as an update time) are set on every row written."""
+    audit, base = audit or {}, table.state()
+    columns = base.schema
+    given = [c for c in columns if c in source.columns and c not in audit]
+    source = source.select(*[F.col(f"`{c}`").cast(columns[c]).alias(c) for c in given])
+    both = table.read(base.version).select(F.struct("*").alias("t")).join(once(source, keys).select(F.struct("*").alias("s")), same("t", "s", keys), "right")
+    new = F.col("t").isNull()
+    if only_changed:
+        both = both.where(new | changed([c for c in given if c not in keys], "t", "s"))
+    value = lambda c: audit[c].cast(columns[c]) if c in audit else F.col(f"s.`{c}`") if c in given else F.col(f"t.`{c}`")
+    with Staged(table.spark, both.select(F.struct(*[value(c).alias(c) for c in columns]).alias("row"), new.alias("new"))) as rows:
+        inserted, updated = rows.agg(F.count_if(F.col("new")), F.count_if(~F.col("new"))).first()
+        metrics = {"numTargetRowsInserted": inserted, "numTargetRowsUpdated": updated}
+        if inserted + updated:
+            touched = rows.where("NOT new").select(*[F.col(f"row.`{k}`").alias(k) for k in keys])
+            table.replace_keys(keys, touched, rows.select("row.*"), "MERGE", metrics, base)
+    return metrics
+
+
+def merge_scd2(table: LakeTable, source: DataFrame, keys: list[str], tracked: list[str], at: Column, close_missing: bool = False) -> dict[str, int]:
+    """A snapshot against a table with effective_start, effective_end and is_current: `at`, one time for all rows, ends the open row of a changed key and starts the new one."""
+    base = table.state()
+    columns = base.schema
+    own = {"effective_start", "effective_end", "is_current"}
+    given = [c for c in columns if c in source.columns and c not in own]
+    source = once(source.select(*[F.col(f"`{c}`").cast(columns[c]).alias(c) for c in given]), keys)
+    history = table.read(base.version)
+    both = history.where("is_current").select(F.struct("*").alias("t")).join(source.select(F.struct("*").alias("s")), same("t", "s", keys), "full_outer" if close_missing else "right")
+    old, here = F.col("t").isNotNull(), F.col("s").isNotNull()
+    both = both.where(~old | ~here | changed(tracked, "t", "s"))
+    key = F.struct(*[F.when(here, F.col(f"s.`{k}`")).otherwise(F.col(f"t.`{k}`")).alias(k) for k in keys])
+    with Staged(table.spark, both.select(key.alias("key"), F.col("s").alias("row"), old.alias("old"))) as found:
+        inserted, updated, closed = found.agg(F.count_if(~F.col("old")), F.count_if(F.col("old") & F.col("row").isNotNull()), F.count_if(F.col("row").isNull())).first()
+        metrics = {"numTargetRowsInserted": inserted + updated, "numTargetRowsUpdated": updated + closed}
+        if inserted + updated + closed:
+            touched = found.where("old").select("key.*")
+            kept = history.alias("t").join(touched.alias("s"), same("t", "s", keys), "left_semi")
+            ended = kept.withColumns({"effective_end": F.when(F.col("is_current"), at.cast(columns["effective_end"])).otherwise(F.col("effective_end")), "is_current": F.lit(False)})
+            value = {"effective_start": at, "effective_end": F.lit(None), "is_current": F.lit(True)}
+            opened = found.where("row IS NOT NULL").select(*[(value[c] if c in own else F.col(f"row.`{c}`") if c in given else F.lit(None)).cast(k).alias(c) for c, k in columns.items()])
+            table.replace_keys(keys, touched, ended.select(*columns).unionByName(opened), "MERGE", metrics, base)
+    return metrics
+
+
+def merge_changes(feed: LakeTable, table: LakeTable, changes: DataFrame, keys: list[str], tracked: list[str], sequence: str) -> dict[str, int]:
+    """Type 2 from a change feed that comes in parts and in any order. `feed` keeps every change once; the histories of its new keys are built again.
+
+    feed has the keys, tracked columns and the sequence; table has keys and tracked columns, __START_AT and __END_AT.
+    Of changes of one key and sequence the largest row counts. A null sequence makes the job fail.
+    """
+    columns = [*keys, *tracked, sequence]
+    state = feed.state()
+    new = changes.select(*[F.col(f"`{c}`").cast(state.schema[c]).alias(c) for c in columns]).distinct()
+    new = new.where(F.assert_true(F.col(f"`{sequence}`").isNotNull(), "a change has no sequence").isNull())
+    known = feed.read(state.version)
+    late = new.alias("t").join(known.alias("s"), same("t", "s", columns), "left_anti")
+    feed.append(late)
+    # all that came since the table was last built, so that a run that died in between is made up for
+    base = table.state()
+    rows, version = feed.changes(base.streams.get("feed", -1))
+    touched = rows.select(*[F.col(f"`{k}`") for k in keys]).distinct()
+    whole = feed.read(version).alias("t").join(touched.alias("s"), same("t", "s", keys), "left_semi")
+    last = whole.groupBy(*[F.col(f"`{c}`") for c in (*keys, sequence)]).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in tracked])).alias("row"))
+    one = last.select(*[F.col(f"`{c}`") for c in (*keys, sequence)], "row.*")
+    built = from_changes(one, keys, tracked, [sequence], sequence, "__START_AT", "__END_AT")
+    built = built.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in base.schema.items()])
+    with Staged(table.spark, built) as rows:
+        n = rows.count()
+        if n:
+            table.replace_keys(keys, touched, rows, "MERGE", {"numTargetRowsInserted": n}, base, {"feed": version})
+    return {"numTargetRowsInserted": n}

@@ -1,14 +1,78 @@
-"""Working folders that driver and executors share."""
+"""Files that driver and executors share, on whatever file system their path names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
 def working(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-")
+    """A new folder below spark.checkpoint.dir; where none is set, in a temporary one if all runs on this machine."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        root = tempfile.mkdtemp(prefix="siltstone-")
     return f"{root.rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
+
+
+class Folder:
+    """A folder on a Hadoop file system; names are relative to it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path.rstrip("/")
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = self._path("").getFileSystem(self.conf)
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def exists(self, name: str = "") -> bool:
+        return self.fs.exists(self._path(name))
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self.fs.create(self._path(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def write_new(self, name: str, text: str) -> bool:
+        """Writes a file whole, unless there is one of that name: then False."""
+        draft, files = f".draft-{uuid.uuid4().hex}", self.jvm.org.apache.hadoop.fs
+        self.write(draft, text)
+        options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        self.fs.mkdirs(self._path(name).getParent())
+        try:
+            files.FileContext.getFileContext(self._path("").toUri() if ":" in self.path else self.fs.getUri(), self.conf).rename(self._path(draft), self._path(name), options)
+        except Py4JJavaError as e:
+            self.delete(draft)
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+    def files(self, name: str = "") -> list[tuple[str, int, int]]:
+        """(name, bytes, time of change in ms) of all files below."""
+        if not self.exists(name):
+            return []
+        root = self.fs.makeQualified(self._path("")).toUri().getPath().rstrip("/")
+        out, found = [], self.fs.listFiles(self._path(name), True)
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toUri().getPath()[len(root) + 1 :], f.getLen(), f.getModificationTime()))
+        return sorted(out)
+
+    def delete(self, name: str = "") -> bool:
+        return self.fs.delete(self._path(name), True)

@@ -5,8 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from siltstone.plans.oracle import SQL
-from siltstone.plans.queries import QUERIES
+from siltstone.plans import medallion, oracle, queries
+
+QUERIES, SQL = queries.QUERIES | medallion.QUERIES, oracle.SQL | medallion.SQL
 
 SF = "/root/testdata/sf0.001"
 
