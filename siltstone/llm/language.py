@@ -1,17 +1,20 @@
 """LM scoring with a log-bilinear neural model trained in numpy by noise-contrastive estimation.
 
-Spark counts every token of all training texts, and every pair of tokens one and two places apart over the symbols: a word of `LEAST` or more occurrences
-is one of its own, as far as the max(`OWN`, 4 sqrt(tokens)) commonest go; all other words are dealt by hash over a power of two
-of classes, which grows alike, and the start of a text is a symbol. The pair table
-stays in Spark. For each of the two distances a log-bilinear model (context vectors, target vectors, target biases) is trained
-by noise-contrastive estimation with unigram noise: Spark tasks pass over all pairs counted, weighted by their counts, `EPOCHS`
-times, and their moves are averaged after each. Tasks then normalise it exactly, a batch of contexts at a time over all targets.
-A token's probability mixes both models and the unigram; a token without a symbol of its own is the probability of its class
-times its own smoothed share, (c + 1) / (tokens + types + 1 of the class), which leaves room for the unseen.
-
-Counts of the commonest words (at most `TABLE`) are broadcast; all other words of a text are joined with the count
-table. Words: A-Z lower-cased, runs without ASCII white space; each text ends with one end token, so null and empty
-texts have that one. With no training text all counts are 0.
+Spark counts every token of all training texts. Symbols are the commonest words of `LEAST` or more occurrences, as far as the
+max(`OWN`, 3 sqrt(tokens)) first go; all other words are dealt by hash over a power of two of classes, which grows alike;
+the start of a text is a symbol of context only. For the word one place before and for the word two places before there
+is a log-bilinear model (context vectors, target vectors, target biases) of all symbols. Spark tasks pass over every
+training text in one epoch of noise-contrastive steps with unigram noise, and their moves are averaged, weighted by how
+often each row was met: what is learnt from grows with the corpus, and nothing but counts and moves is shuffled. Both models
+are then normalised exactly, a batch of contexts at a time over all targets by matrix products. A token's probability mixes both
+models and the unigram, by the parts that give the texts of a `FITTED`th of the training rows, which the vectors were not
+trained on, the highest probability. A token without a symbol of its own has the probability of its class times its own
+smoothed share, (c + 1) / (tokens + types + 1 of the class), which leaves room for the unseen.
+
+Counts of the commonest words (at most `TABLE`, or as many as have symbols) are broadcast; all other words of a text are
+joined with the count table. Words: A-Z lower-cased, runs without ASCII white space; each text ends with one end token, so
+null and empty texts have that one. With no training text all counts are 0. A very long text is a slice of its own.
+Repeated rows count each for itself; an empty table gives no rows; rows keep all their columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from . import rows, store, textvec
+from . import rows, store, textvec, words
 
-OWN, LEAST, TABLE, DIM = 8192, 3, 1 << 18, 40
-#: Passes over the pair table, and pairs a task holds at once.
-EPOCHS, CELLS = 2, 1 << 21
-#: Parts of the mixture: unigram, distance 1, distance 2.
-MIX = (0.1, 0.6, 0.3)
-END = textvec.hash_text(b"\n")
+OWN, LEAST, TABLE, DIM = 8192, 3, 1 << 18, 16
+#: Pairs of a step, its noise samples, its rate, and the pairs of rows that tasks give back at once.
+STEP, NOISE, RATE, GIVEN = 1024, 32, 0.1, 1 << 14
+#: One training text in so many only fits the parts of the mixture; and those parts where there is no such text.
+FITTED, MIX = 16, (0.1, 0.6, 0.3)
+#: Words that a task counts before it hands them on.
+COUNTED = 1 << 20
+END = textvec.hash_text(b"\\n")
 PARTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("counted", "model")] + [T.StructField("rest", T.ArrayType(T.LongType()))])
 
 
@@ -41,14 +46,23 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """Columns word (hash) and c over all texts (one column)."""
+    """Columns word (hash) and c over all texts (first column)."""
 
     def run(batches):
+        seen = words.Counts()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(seen.hashes[: seen.n]), pa.array(seen.c)], names=["word", "c"])
+
         for batch in batches:
             data, offsets = textvec.utf8(batch.column(0))
             for a, b in textvec.slices(offsets):
-                word, c = np.unique(tokens(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c)], names=["word", "c"])
+                seen.take(tokens(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a])[0].view(np.int64))
+                if seen.n >= COUNTED:
+                    yield out()
+                    seen = words.Counts()
+        if seen.n:
+            yield out()
 
     return texts.mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -58,20 +72,17 @@ class Symbols:
 
     def __init__(self, word: np.ndarray, c: np.ndarray, own: int, classes: int):
         order = np.lexsort((word, -c))
-        rank = np.full(len(word), -1)
-        rank[order[:own]] = np.arange(own)
-        by_word = np.argsort(word)
-        self.word, self.c, self.rank = word[by_word], c[by_word], rank[by_word]
+        self.places = words.Places()
+        self.places.add(word[order].view(np.int64))
+        self.c = np.append(c[order], -1)
+        self.log = np.log10(np.maximum(self.c, 0) + 1)
         self.own, self.classes, self.n = own, classes, own + classes
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol and count (-1: not in the table) of each token."""
+        """Symbol and place in the table (-1: not in it) of each token."""
+        at = self.places.find(h.view(np.int64))
         classed = self.own + (h & np.uint64(self.classes - 1)).astype(np.int64)
-        if not len(self.word):
-            return classed, np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        hit = self.word[at] == h
-        return np.where(hit & (self.rank[at] >= 0), self.rank[at], classed), np.where(hit, self.c[at], -1)
+        return np.where((at >= 0) & (at < self.own), at, classed), at
 
 
 def contexts(symbol: np.ndarray, first: np.ndarray, start: int) -> list[np.ndarray]:
@@ -86,36 +97,6 @@ def contexts(symbol: np.ndarray, first: np.ndarray, start: int) -> list[np.ndarr
     return out
 
 
-def pair_counts(texts: DataFrame, symbols) -> DataFrame:
-    """Rows (context, target, n): how often each target follows each context; numbers of both distances are those of `Model`."""
-
-    def run(batches):
-        n = symbols.value.n
-        held, size = [], 0
-
-        def counted():
-            at, c = np.unique(np.concatenate(held), return_counts=True)
-            context, target = np.divmod(at, 2 * n)
-            return pa.RecordBatch.from_arrays([pa.array(context.astype(np.int32)), pa.array(target.astype(np.int32)), pa.array(c)], names=["context", "target", "n"])
-
-        for batch in batches:
-            data, offsets = textvec.utf8(batch.column(0))
-            for a, b in textvec.slices(offsets):
-                h, first = tokens(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a])
-                symbol = symbols.value.find(h)[0]
-                for k, before in enumerate(contexts(symbol, first, n)):
-                    held.append((k * (n + 1) + before) * (2 * n) + k * n + symbol)
-                    size += len(symbol)
-                if size >= CELLS:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-
-    found = texts.mapInArrow(run, "context int, target int, n long").repartition("context")
-    return found.groupBy("context", "target").agg(F.sum("n").alias("n")).sortWithinPartitions("context", "target")
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """In place, over float32."""
     np.clip(x, -30, 30, out=x)
@@ -126,149 +107,193 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Rows of both distances: 2 (n + 1) contexts, then 2 n targets; a row is a vector, a bias, and the Adagrad sums of the two."""
+    """Vectors of contexts (n + 1 a distance) and targets (n a distance), and biases of targets; a copy to learn with has the sums of Adagrad too."""
 
     def __init__(self, noise: np.ndarray, seed: int = 3):
-        self.n, self.noise = len(noise), noise
-        self.w = np.zeros((4 * self.n + 2, DIM + 3), np.float32)
-        self.w[:, :DIM] = np.random.default_rng(seed).normal(0, 0.1, (len(self.w), DIM))
-        self.w[2 * self.n + 2 :, DIM] = np.tile(np.log(noise), 2)
-        self.w[:, DIM + 1 :] = 1e-3
-        self.logz = np.zeros(2 * self.n + 2)
-
-    def move(self, rows_: np.ndarray, grad: np.ndarray, bias: np.ndarray | None, rate: float) -> None:
-        """Rows that occur repeatedly move once, by their summed gradient (Adagrad)."""
-        order = np.argsort(rows_, kind="stable")
-        head = np.flatnonzero(np.diff(rows_[order], prepend=-1))
-        u, g, w = rows_[order][head], np.add.reduceat(grad[order], head, axis=0), self.w
-        w[u, DIM + 1] += np.einsum("ij,ij->i", g, g) / DIM
-        w[u, :DIM] -= rate * g / np.sqrt(w[u, DIM + 1])[:, None]
-        if bias is not None:
-            g = np.add.reduceat(bias[order], head)
-            w[u, DIM + 2] += g * g
-            w[u, DIM] -= rate * g / np.sqrt(w[u, DIM + 2])
-
-    def learn(self, context: np.ndarray, target: np.ndarray, count: np.ndarray, visits: np.ndarray, epoch: int = 0, batch: int = 512, k: int = 64, rate: float = 0.1, most: int = 4) -> None:
-        """One pass over counted pairs by noise-contrastive estimation; a pair counted more than `most` times is dealt over several steps."""
-        rng = np.random.default_rng([epoch, int(context[0]), int(target[0]), len(context)])
-        times = -(-count // most)
-        pick = rng.permutation(np.repeat(np.arange(len(count)), times))
-        weight = (count / times).astype(np.float32)
-        reach = np.cumsum(self.noise)
-        base = np.tile(np.log(self.noise * k), 2).astype(np.float32)
-        first, w = 2 * self.n + 2, self.w
-        np.add.at(visits, context, count)
-        np.add.at(visits, first + target, count)
-        for far in (0, 1):
-            mine = pick[(target[pick] >= self.n) == far]
-            for a in range(0, len(mine), batch):
-                i = mine[a : a + batch]
-                c, t, by = context[i], target[i], weight[i] / np.float32(batch**0.5)
-                # all pairs of a step share its noise, drawn from k equal parts of the unigram
-                f = far * self.n + np.searchsorted(reach, (np.arange(k) + rng.random(k)) / k * reach[-1], "right").clip(max=self.n - 1)
-                x, y, z = w[c, :DIM], w[first + t, :DIM], w[first + f, :DIM]
-                gt = (sigmoid(np.einsum("ij,ij->i", x, y) + w[first + t, DIM] - base[t]) - 1) * by
-                gf = sigmoid(x @ z.T + (w[first + f, DIM] - base[f])) * by[:, None]
-                np.add.at(visits, first + f, by.sum() / k)
-                dc, dt, df = gt[:, None] * y + gf @ z, gt[:, None] * x, gf.T @ x
-                self.move(c, dc, None, rate)
-                self.move(first + np.concatenate([t, f]), np.concatenate([dt, df]), np.concatenate([gt, gf.sum(0)]), rate)
+        self.n = n = len(noise)
+        self.noise = noise
+        rng = np.random.default_rng(seed)
+        self.context, self.target = (rng.normal(0, 0.1, (m, DIM)).astype(np.float32) for m in (2 * n + 2, 2 * n))
+        self.bias = np.tile(np.log(noise), 2).astype(np.float32)
+        self.logz = np.zeros(2 * n + 2, np.float32)
+
+    def own(self) -> Model:
+        """A copy to learn with."""
+        out, n = copy.copy(self), self.n
+        out.context, out.target, out.bias = self.context.copy(), self.target.copy(), self.bias.copy()
+        out.context_sum, out.target_sum, out.bias_sum = (np.full(m, 1e-3, np.float32) for m in (2 * n + 2, 2 * n, 2 * n))
+        out.met = np.zeros(4 * self.n + 2)
+        out.reach, out.floor = np.cumsum(self.noise), np.tile(np.log(self.noise * NOISE), 2).astype(np.float32)
+        return out
+
+    def step(self, far: int, before: np.ndarray, symbol: np.ndarray, rng: np.random.Generator) -> None:
+        """One noise-contrastive step on pairs of a distance; they share their noise, drawn from equal parts of the unigram."""
+        order = np.argsort(before, kind="stable")
+        c, t = before[order] + far * (self.n + 1), symbol[order] + far * self.n
+        f = far * self.n + np.searchsorted(self.reach, (np.arange(NOISE) + rng.random(NOISE)) / NOISE * self.reach[-1], "right").clip(max=self.n - 1)
+        x, y, z = self.context[c], self.target[t], self.target[f]
+        by = np.float32(len(c) ** -0.5)
+        real = sigmoid(np.einsum("ij,ij->i", x, y) + self.bias[t] - self.floor[t])
+        real -= 1
+        real *= by
+        noise = sigmoid(x @ z.T + (self.bias[f] - self.floor[f]))
+        noise *= by
+        # a row moves once, by its summed gradient
+        head = np.flatnonzero(np.diff(c, prepend=-1))
+        grad = noise @ z
+        grad += real[:, None] * y
+        move(self.context, self.context_sum, c[head], np.add.reduceat(grad, head, axis=0))
+        self.met[c[head]] += np.diff(head, append=len(c))
+        both = np.concatenate([t, f])
+        order = np.argsort(both, kind="stable")
+        head = np.flatnonzero(np.diff(both[order], prepend=-1))
+        u = both[order][head]
+        self.met[2 * self.n + 2 + u] += np.add.reduceat(np.where(order < len(t), 1, len(t) / NOISE), head)
+        move(self.target, self.target_sum, u, np.add.reduceat(np.concatenate([real[:, None] * x, noise.T @ x])[order], head, axis=0))
+        g = np.add.reduceat(np.concatenate([real, noise.sum(0)])[order], head)
+        self.bias_sum[u] += g * g
+        self.bias[u] -= RATE * g / np.sqrt(self.bias_sum[u])
+
+    def learn(self, symbol: np.ndarray, first: np.ndarray, rng: np.random.Generator) -> None:
+        """All tokens of some texts, once for each distance."""
+        for far, before in enumerate(contexts(symbol, first, self.n)):
+            for a in range(0, len(symbol), STEP):
+                self.step(far, before[a : a + STEP], symbol[a : a + STEP], rng)
+
+    def packed(self) -> np.ndarray:
+        """A row for each context, then each target: the vector and the bias."""
+        none = np.zeros((2 * self.n + 2, 1), np.float32)
+        return np.concatenate([np.hstack([self.context, none]), np.hstack([self.target, self.bias[:, None]])])
+
+    def moved(self, at: np.ndarray, by: np.ndarray) -> None:
+        all_ = self.packed()
+        all_[at] += by
+        a, b = all_[: 2 * self.n + 2], all_[2 * self.n + 2 :]
+        self.context, self.target, self.bias = (np.ascontiguousarray(x) for x in (a[:, :DIM], b[:, :DIM], b[:, DIM]))
 
     def log_p(self, far: int, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of symbols after the symbols `before`."""
-        out = np.empty(len(symbol))
-        for a in range(0, len(symbol), 1 << 15):
-            c, t = far * (self.n + 1) + before[a : a + (1 << 15)], 2 * self.n + 2 + far * self.n + symbol[a : a + (1 << 15)]
-            out[a : a + (1 << 15)] = np.einsum("ij,ij->i", self.w[c, :DIM], self.w[t, :DIM]) + self.w[t, DIM] - self.logz[c]
-        return out
+        c, t = far * (self.n + 1) + before, far * self.n + symbol
+        return np.einsum("ij,ij->i", self.context[c], self.target[t]) + self.bias[t] - self.logz[c]
 
     def normaliser(self, context: np.ndarray) -> np.ndarray:
         """Log of the sum over all targets for contexts of one distance."""
-        far = int(context[0] > self.n)
-        q = self.w[2 * self.n + 2 + far * self.n :][: self.n]
-        logits = self.w[context, :DIM] @ q[:, :DIM].T + q[:, DIM]
+        far = slice(self.n, 2 * self.n) if context[0] > self.n else slice(0, self.n)
+        logits = self.context[context] @ self.target[far].T + self.bias[far]
         top = logits.max(1, keepdims=True)
-        return top[:, 0] + np.log(np.exp(logits - top).sum(1, dtype=np.float64))
+        logits -= top
+        return top[:, 0] + np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
+
+
+def move(rows_: np.ndarray, sums: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+    sums[at] += np.einsum("ij,ij->i", grad, grad) / DIM
+    rows_[at] -= grad * (RATE / np.sqrt(sums[at]))[:, None]
 
 
-def train(pairs: DataFrame, noise: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """A model of the counted pairs, each of which is passed over `epochs` times.
+def slices(batches, column: int = 0):
+    """(data, offsets) of the texts of batches, a slice at a time."""
+    for batch in batches:
+        data, offsets = textvec.utf8(batch.column(column))
+        for a, b in textvec.slices(offsets):
+            yield data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a]
 
-    In an epoch each task learns from its part of the pairs, which holds all or most of the pairs of a context; the moves of
-    a row are then averaged, weighted by how often the tasks met it.
+
+def train(texts: DataFrame, symbols, noise: np.ndarray) -> Model:
+    """A model of all texts (first column), each passed over once.
+
+    There are twice as many learners as cores, each with a part of the texts; the moves of a row are then averaged,
+    weighted by how often the learners met it.
     """
-    spark = pairs.sparkSession
+    spark = texts.sparkSession
     model = Model(noise)
+    shared = spark.sparkContext.broadcast(model)
+    wide, height = DIM + 1, 4 * model.n + 2
     kind = "id int, met double, moved array<float>"
-    for epoch in range(epochs):
-        shared = spark.sparkContext.broadcast(model)
-
-        def learn(batches, shared=shared, epoch=epoch):
-            model = None
-            held, size = [], 0
-            for batch in batches:
-                if model is None:
-                    model, met = copy.copy(shared.value), np.zeros(len(shared.value.w))
-                    model.w = model.w.copy()
-                held.append(batch)
-                size += len(batch)
-                if size >= CELLS:
-                    take(model, held, met, epoch)
-                    held, size = [], 0
-            if held and size:
-                take(model, held, met, epoch)
-            if model is not None:
-                use = np.flatnonzero(met)
-                for a in range(0, len(use), 1 << 14):
-                    i = use[a : a + (1 << 14)]
-                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(met[i]), rows.lists(np.full(len(i), DIM + 3), pa.array((model.w[i] - shared.value.w[i]).ravel()))], names=["id", "met", "moved"])
-
-        def take(model, held, met, epoch):
-            context, target, n = (np.concatenate([b.column(k).to_numpy() for b in held]).astype(np.int64) for k in range(3))
-            if len(n):
-                model.learn(context, target, n, met, epoch)
-
-        def merge(batches, height=len(model.w)):
-            slot, met, moved = np.full(height, -1), np.zeros(0), np.zeros((0, DIM + 3))
-            for batch in batches:
-                i, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                new = np.unique(i[slot[i] < 0])
-                slot[new] = len(met) + np.arange(len(new))
-                met, moved = np.append(met, np.zeros(len(new))), np.append(moved, np.zeros((len(new), DIM + 3)), 0)
-                np.add.at(met, slot[i], m)
-                np.add.at(moved, slot[i], batch.column(2).flatten().to_numpy().reshape(-1, DIM + 3) * m[:, None])
-            i = np.flatnonzero(slot >= 0)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(met[slot[i]]), rows.lists(np.full(len(i), DIM + 3), pa.array((moved[slot[i]] / met[slot[i], None]).astype(np.float32).ravel()))], names=["id", "met", "moved"])
-
-        found = pairs.mapInArrow(learn, kind).repartition("id").mapInArrow(merge, kind).select("id", "moved").toArrow()
-        if len(found):
-            model.w[found.column("id").to_numpy()] += found.column("moved").combine_chunks().flatten().to_numpy().reshape(-1, DIM + 3)
-        shared.unpersist()
+
+    def given(at, met, moved):
+        for a in range(0, len(at), GIVEN):
+            b = min(a + GIVEN, len(at))
+            yield pa.RecordBatch.from_arrays([pa.array(at[a:b].astype(np.int32)), pa.array(met[a:b]), rows.lists(np.full(b - a, wide), pa.array(moved[a:b].astype(np.float32).ravel()))], names=["id", "met", "moved"])
+
+    def learn(batches):
+        mine = None
+        for data, offsets in slices(batches):
+            h, first = tokens(data, offsets)
+            mine = mine or shared.value.own()
+            mine.learn(symbols.value.find(h)[0], first, np.random.default_rng([len(h), int(h[0] >> np.uint64(1))]))
+        if mine:
+            at = np.flatnonzero(mine.met)
+            yield from given(at, mine.met[at], mine.packed()[at] - shared.value.packed()[at])
+
+    def merge(batches):
+        slot, met, moved = np.full(height, -1), np.zeros(0), np.zeros((0, wide))
+        for batch in batches:
+            i, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.unique(i[slot[i] < 0])
+            slot[new] = len(met) + np.arange(len(new))
+            met, moved = np.append(met, np.zeros(len(new))), np.append(moved, np.zeros((len(new), wide)), 0)
+            np.add.at(met, slot[i], m)
+            np.add.at(moved, slot[i], batch.column(2).flatten().to_numpy().reshape(-1, wide) * m[:, None])
+        at = np.flatnonzero(slot >= 0)
+        yield from given(at, met[slot[at]], moved[slot[at]] / met[slot[at], None])
+
+    learners = texts.coalesce(2 * spark.sparkContext.defaultParallelism)
+    found = learners.mapInArrow(learn, kind).repartition("id").mapInArrow(merge, kind).select("id", "moved").toArrow()
+    if len(found):
+        model.moved(found.column("id").to_numpy(), found.column("moved").combine_chunks().flatten().to_numpy().reshape(-1, wide))
+    shared.unpersist()
     shared = spark.sparkContext.broadcast(model)
     step = max(1, min(1024, (1 << 24) // model.n))
+    parts, n = -(-(model.n + 1) // step), model.n
 
     def normalise(batches):
         for batch in batches:
-            for a in batch.column(0).to_pylist():
-                far, a = divmod(a, -(-(model_n + 1) // step))
-                i = far * (model_n + 1) + np.arange(a * step, min((a + 1) * step, model_n + 1))
+            for k in batch.column(0).to_pylist():
+                far, k = divmod(k, parts)
+                i = far * (n + 1) + np.arange(k * step, min((k + 1) * step, n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(shared.value.normaliser(i))], names=["id", "logz"])
 
-    model_n = model.n
-    found = spark.range(2 * -(-(model.n + 1) // step)).mapInArrow(normalise, "id int, logz double").toArrow()
+    found = spark.range(2 * parts).mapInArrow(normalise, "id int, logz double").toArrow()
     model.logz[found.column("id").to_numpy()] = found.column("logz").to_numpy()
     shared.unpersist()
     return model
 
 
-def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
-    """Columns row (all of docs), n_tokens, n_known, train_tokens, base_score and score; `training` tells which rows are learnt from."""
+def chances(model: Model, unigram: np.ndarray, symbol: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Probabilities of all tokens by the unigram and by each distance's model."""
+    out = [unigram[symbol]]
+    for k, before in enumerate(contexts(symbol, first, model.n)):
+        log = model.log_p(k, before, symbol)
+        out.append(np.exp(log, out=log))
+    return out
+
+
+def parts_of(texts: DataFrame, symbols, shared) -> np.ndarray:
+    """The parts of the mixture, in tenths, that make texts (first column) likeliest."""
+    grid = np.array([(a, b, 10 - a - b) for a in range(1, 11) for b in range(11 - a)]) / 10
+
+    def run(batches):
+        sums = np.zeros(len(grid))
+        for data, offsets in slices(batches):
+            h, first = tokens(data, offsets)
+            p = np.stack(chances(shared.value[2], shared.value[0], symbols.value.find(h)[0], first))
+            sums += [np.log(g @ p).sum() for g in grid]
+        if sums.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid))), pa.array(sums)], names=["k", "sum"])
+
+    found = texts.mapInArrow(run, "k long, sum double").groupBy("k").agg(F.sum("sum").alias("sum")).collect()
+    return grid[max(found, key=lambda r: (r["sum"], -r["k"]))["k"]] if found else np.array(MIX)
+
+
+def score(docs: DataFrame, training: Column, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Columns row (all of docs, or those of carry), n_tokens, n_known, train_tokens, base_score and score; `training` tells which rows are learnt from."""
     spark = docs.sparkSession
-    texts = docs.where(training).select(F.col(f"`{text}`").cast("string"))
+    value = F.col(f"`{text}`").cast("string")
+    texts = docs.where(training).select(value.alias("text"))
+    fitting = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(FITTED)) == 0, F.lit(False))
     table = store.written(counts(texts), "counts")
     n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    limit = max(OWN, int(4 * n**0.5))
+    limit = max(OWN, int(3 * n**0.5))
     # the lowest count that at most `held_most` words reach
     held, least, held_most = 0, 1 << 62, max(TABLE, limit)
     for c, of in table.groupBy("c").count().orderBy(F.desc("c")).limit(held_most).collect():
@@ -276,24 +301,25 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
             break
         held, least = held + of, c
     top = table.where(F.col("c") >= least).toArrow()
-    c = top.column("c").to_numpy()
+    word, c = top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy()
     own = min(limit, int((c >= LEAST).sum()))
     classes = 1 << max(6, (own // 4).bit_length())
-    known = Symbols(top.column("word").to_numpy().view(np.uint64), c, own, classes)
+    known = Symbols(word, c, own, classes)
     symbols = spark.sparkContext.broadcast(known)
     rare = table.where(F.col("c") < least)
     # tokens and types of each symbol
     seen, kinds = np.zeros((2, known.n))
-    symbol = known.find(known.word)[0]
-    np.add.at(seen, symbol, known.c)
+    symbol = known.find(word)[0]
+    np.add.at(seen, symbol, c)
     np.add.at(kinds, symbol, 1)
     for i, of, v_ in rare.groupBy(F.col("word").bitwiseAND(F.lit(classes - 1).cast("long"))).agg(F.sum("c"), F.count("*")).collect():
         seen[own + i] += of
         kinds[own + i] += v_
     unigram = (seen + 1) / (seen + 1).sum()
-    model = train(store.written(pair_counts(texts, symbols), "pairs"), unigram)
+    model = train(texts.where(~fitting), symbols, unigram)
     share = np.where(np.arange(known.n) >= own, np.log10(seen + kinds + 1), 0)
     shared = spark.sparkContext.broadcast((unigram, share, model))
+    mix = parts_of(texts.where(fitting), symbols, shared)
 
     def make():
         find = symbols.value
@@ -301,19 +327,20 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
 
         def work(data, offsets):
             h, first = tokens(data, offsets)
-            symbol, c = find.find(h)
-            before = contexts(symbol, first, find.n)
-            p = MIX[0] * uni[symbol] + sum(m * np.exp(model.log_p(k, b, symbol)) for k, (m, b) in enumerate(zip(MIX[1:], before, strict=True)))
-            modelled = np.log10(p) - share[symbol] + np.where((symbol >= find.own) & (c > 0), np.log10(np.maximum(c, 0) + 1), 0)
-            text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            rest = c < 0
-            m = len(first) - 1
-            sums = [np.bincount(text, x, minlength=m) for x in (np.log10(np.maximum(c, 0) + 1), modelled)]
-            return [pa.array(np.diff(first)), pa.array(np.bincount(text[~rest], minlength=m)), *map(pa.array, sums), rows.lists(np.bincount(text[rest], minlength=m), pa.array(h[rest].view(np.int64)))]
+            symbol, at = find.find(h)
+            counted = find.log[at]
+            p = sum(m * x for m, x in zip(mix, chances(model, uni, symbol, first), strict=True))
+            modelled = np.log10(p) - share[symbol]
+            modelled += np.where(symbol >= find.own, counted, 0)
+            n = np.diff(first)
+            rest = at < 0
+            late = np.add.reduceat(rest, first[:-1], dtype=np.int64)
+            sums = [np.add.reduceat(x, first[:-1]) for x in (counted, modelled)]
+            return [pa.array(n), pa.array(n - late), *map(pa.array, sums), rows.lists(late, pa.array(h[rest].view(np.int64)))]
 
         return work
 
-    scored = store.written(rows.with_result(docs, text, PARTS, make).withColumn("key", F.monotonically_increasing_id()), "scored")
+    scored = store.written(rows.with_result(docs, text, PARTS, make, carry=carry).withColumn("key", F.monotonically_increasing_id()), "scored")
     late = scored.select("key", F.explode("res.rest").alias("word")).groupBy("key", "word").agg(F.count("*").alias("n")).join(rare, "word").groupBy("key").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("late"))
     both = scored.join(late, "key", "left")
     late = F.coalesce("late", F.lit(0.0))

@@ -48,7 +48,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(labelled.remainder("doc_id", 7) == 2, F.lit(False))
-    found = language.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
+    found = language.score(table(spark, sf_dir, "documents"), ~held, carry=["doc_id"])
     held = F.coalesce(labelled.remainder(F.col("row.doc_id"), 7) == 2, F.lit(False))
     return found.select("row.doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
