@@ -9,15 +9,27 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
-def working(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where none is set, in a temporary one if all runs on this machine."""
+_temporary: dict[str, str] = {}
+
+
+def root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir or the context's checkpoint folder; where neither is set, a temporary one if all runs on this machine, as in tests."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc.master.startswith("local"):
+    found = sc.getConf().get("spark.checkpoint.dir")
+    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
+        found = sc._jsc.sc().getCheckpointDir().get()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        root = tempfile.mkdtemp(prefix="siltstone-")
-    return f"{root.rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
+        if sc.applicationId not in _temporary:
+            _temporary[sc.applicationId] = tempfile.mkdtemp(prefix="siltstone-")
+        found = _temporary[sc.applicationId]
+    return found.rstrip("/")
+
+
+def working(spark: SparkSession, name: str) -> str:
+    """A new folder for one purpose; all of one application's lie below one folder."""
+    return f"{root(spark)}/siltstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 class Folder:
