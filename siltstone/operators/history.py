@@ -50,13 +50,49 @@ def snapshot(history: DataFrame, source: DataFrame, keys: list[str], tracked: li
     return both.select(F.explode(rows).alias("row")).select("row.*")
 
 
-def from_changes(feed: DataFrame, keys: list[str], tracked: list[str], sequence: list[str], at: str, start: str = "start_at", end: str = "end_at") -> DataFrame:
-    """Type 2 from a change feed in any order: a row for each real change, open until the next one."""
-    w = Window.partitionBy(*[F.col(f"row.`{k}`") for k in keys]).orderBy(*[F.col(f"row.`{c}`") for c in sequence])
-    first = F.row_number().over(w) == 1
-    real = reduce(lambda a, b: a | b, (~F.col(f"row.`{c}`").eqNullSafe(F.lag(F.col(f"row.`{c}`")).over(w)) for c in tracked), first)
-    seen = feed.select(F.struct("*").alias("row")).withColumn("real", real).where("real")
-    return seen.select(*[F.col(f"row.`{c}`").alias(c) for c in (*keys, *tracked)], F.col(f"row.`{at}`").alias(start), F.lead(F.col(f"row.`{at}`")).over(w).alias(end))
+#: Rows of one key that a window takes; keys with more are cut into parts of the sequence, CUTS at most.
+MOST, CUTS = 4_000_000, 256
+
+
+def from_changes(feed: DataFrame, keys: list[str], tracked: list[str], sequence: list[str], at: str, start: str = "start_at", end: str = "end_at", most: int = MOST) -> DataFrame:
+    """Type 2 from a change feed in any order: a row for each real change, open until the next one.
+
+    Of a key with more than `most` rows, windows see parts of its sequence (by percentiles of the first sequence column, a
+    number or time), and what lies before and after a part is joined from a table of one row a part.
+    """
+    key = [F.col(f"row.`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]
+    names, order = [f"k{i}" for i in range(len(keys))], F.struct(*[F.col(f"row.`{c}`") for c in sequence])
+    values = F.struct(*[F.col(f"row.`{c}`").alias(f"v{i}") for i, c in enumerate(tracked)])
+    rows = feed.select(F.struct("*").alias("row"))
+    rows = rows.select(*key, order.alias("at"), values.alias("value"), F.col(f"row.`{at}`").alias("time"))
+    hot = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*[F.col(n).alias(f"h{n}") for n in names])
+    if hot.isEmpty():
+        parts, rows = names, rows.withColumn("part", F.lit(0))
+    else:
+        # hot keys are no more than rows / most
+        meets = reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"h{n}")) for n in names))
+        first = F.col("at").getField(sequence[0])
+        cuts = rows.join(F.broadcast(hot), meets, "left_semi").groupBy(*[F.col(n).alias(f"h{n}") for n in names]).agg(F.percentile_approx(first, [k / CUTS for k in range(1, CUTS)], 10_000).alias("cuts"))
+        part = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < first)) + 1)
+        rows = rows.join(F.broadcast(cuts), meets, "left").select(*names, "at", "value", "time", part.alias("part"))
+        parts = [*names, "part"]
+    w = Window.partitionBy(*parts).orderBy("at")
+    rows = rows.withColumns({"nth": F.row_number().over(w), "before": F.lag("value").over(w)})
+    if parts != names:
+        rows = beside(rows, names, F.max_by("value", "at"), F.lag, "before", F.col("nth") == 1)
+    seen = rows.where(F.col("before").isNull() | ~F.col("value").eqNullSafe(F.col("before")))
+    seen = seen.withColumn("until", F.lead("time").over(w))
+    if parts != names:
+        seen = beside(seen.withColumn("last", F.lead(F.lit(1)).over(w).isNull()), names, F.min_by("time", "at"), F.lead, "until", F.col("last"))
+    return seen.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], *[F.col(f"value.v{i}").alias(c) for i, c in enumerate(tracked)], F.col("time").alias(start), F.col("until").alias(end))
+
+
+def beside(rows: DataFrame, names: list[str], value: Column, step, column: str, where: Column) -> DataFrame:
+    """rows whose `column`, `where` a part of a hot key begins or ends, is the neighbouring part's value."""
+    one = rows.where("part > 0").groupBy(*names, "part").agg(value.alias("value"))
+    near = one.select(*[F.col(n).alias(f"h{n}") for n in names], F.col("part").alias("hpart"), step("value").over(Window.partitionBy(*names).orderBy("part")).alias("near"))
+    meets = reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"h{n}")) for n in (*names, "part")))
+    return rows.join(F.broadcast(near), meets, "left").withColumn(column, F.when(where & (F.col("part") > 0), F.col("near")).otherwise(F.col(column))).drop("near", *[f"h{n}" for n in (*names, "part")])
 
 
 class Staged:
