@@ -1,8 +1,9 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document is its five-word shingles (all its words where it has fewer), each weighted by its count times the
-mean over its words of ln(1 + documents / documents with the word); word counts cover all documents, in
-2**20 hash buckets. Documents of one word sequence are one text. Consistent samples of each text, `ROWS` to a
+mean over its words of ln(1 + documents / documents with the word). Spark counts the documents of every word; the `WORDS`
+words of most documents are broadcast, and all rarer ones have the weight of a word of as many documents as the
+rarest of those. Documents of one word sequence are one text. Consistent samples of each text, `ROWS` to a
 band, deal texts into `BANDS` tables of buckets. In each bucket every text is compared with the smallest one.
 Buckets that hold several components after that are gone through in pairs of blocks of about `BLOCK` texts: the
 samples of every two texts of different components are compared, and those that agree in `AGREE` or more are
@@ -14,7 +15,8 @@ A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**4)**12 =
 samples with probability over 0.999.
 
 Words are runs without ASCII white space, unchanged. Texts without words, null texts and rows with a null id
-link with nothing. Rows that repeat an id belong to their texts' classes each.
+link with nothing. Rows that repeat an id belong to their texts' classes each. A very long text is a slice of its own; an
+empty table gives no rows. Only the id and the text are read to find classes, and `remove` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import components, rows, store, textvec
+from . import components, rows, store, textvec, words
 
-SHINGLE, SIMILARITY, BANDS, ROWS, BITS = 5, 0.8, 12, 4, 20
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 4
+#: Words whose number of documents is broadcast, and words that a task counts before it hands them on.
+WORDS, COUNTED = 1 << 20, 1 << 19
 #: Texts in a block, samples in which a pair has to agree to be verified, and pairs a text from which a block is dense.
 BLOCK, AGREE, MANY = 1024, 28, 4
 KEYS = "band", "bucket", "lo", "hi"
@@ -40,33 +44,58 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return textvec.hash_words(data, starts, ends), first
 
 
-def document_counts(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
-    """Number of documents and in how many of them each word bucket occurs, over all docs."""
+def document_counts(texts: DataFrame) -> DataFrame:
+    """Columns word (hash) and n, in how many texts (first column) it occurs."""
 
     def run(batches):
-        n, counts = 0, np.zeros(1 << BITS, np.int64)
+        seen = words.Counts()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(seen.hashes[: seen.n]), pa.array(seen.c)], names=["word", "n"])
+
         for batch in batches:
             data, offsets = textvec.utf8(batch.column(0))
-            n += len(batch)
             for a, b in textvec.slices(offsets):
                 h, first = words_of(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a])
-                doc = np.repeat(np.arange(b - a), np.diff(first))
-                counts += np.bincount(np.unique(doc << BITS | (h & np.uint64((1 << BITS) - 1)).astype(np.int64)) & ((1 << BITS) - 1), minlength=1 << BITS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], names=["bucket", "n"])
+                doc = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(first))
+                # once a text: the same word of the same text has the same mixture
+                _, at = np.unique(textvec.mix(h + doc * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                seen.take(h[at].view(np.int64))
+                if seen.n >= COUNTED:
+                    yield out()
+                    seen = words.Counts()
+        if seen.n:
+            yield out()
+
+    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Idf:
+    """Weights of words by their hashes."""
+
+    def __init__(self, documents: int, word: np.ndarray, n: np.ndarray):
+        self.places = words.Places()
+        self.places.add(word)
+        least = n.min() if len(n) else 1
+        self.weights = np.log1p(documents / np.append(n, least)).astype(np.float32)
 
-    found = docs.select(F.col(text)).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    at, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-    out = np.zeros(1 << BITS, np.int64)
-    out[at[at >= 0]] = n[at >= 0]
-    return int(n[at < 0].sum()), out
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.weights[self.places.find(h.view(np.int64))]
 
 
-def idf(n: int, counts: np.ndarray) -> np.ndarray:
-    return np.log1p(n / np.maximum(counts, 1)).astype(np.float32)
+def weights(texts: DataFrame, most: int = WORDS) -> Idf:
+    table = store.written(document_counts(texts), "documents-of-words")
+    held, least = 0, 1 << 62
+    for n, of in table.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect():
+        if held + of > most and held:
+            break
+        held, least = held + of, n
+    # of words of as many documents as the rarest that fit, those of the lowest hashes
+    top = table.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).toArrow()
+    return Idf(texts.count(), top.column("word").to_numpy(), top.column("n").to_numpy())
 
 
-def features(h: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(h: np.ndarray, first: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle, weight) of all shingles, in order of text and shingle."""
     n = np.diff(first)
     size = np.minimum(n, SHINGLE)
@@ -76,7 +105,7 @@ def features(h: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.nd
     key = textvec.hash_ranges(textvec.prefix(h, _BASE), at, at + size[text], _BASE)
     key = text.astype(np.uint64) << np.uint64(42) | key >> np.uint64(22)
     key, where, tf = np.unique(key, return_index=True, return_counts=True)
-    weight = table[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+    weight = idf.of(h)
     text, at = text[where], at[where]
     total = weight[at].astype(np.float64)
     for k in range(1, SHINGLE):
@@ -274,21 +303,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     sc = docs.sparkSession.sparkContext
     value = F.col(f"`{text}`").cast("string")
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(value).alias("key"), value.alias("text")).where("doc_id IS NOT NULL")
-    table = sc.broadcast(idf(*document_counts(src)))
+    table = sc.broadcast(weights(src.select("text")))
 
     def make():
-        weights = table.value
+        idf = table.value
 
         def work(data, offsets):
             h, first = words_of(data, offsets)
-            pre = textvec.prefix(h)
-            n, keys = bands(*features(h, first, weights), len(offsets) - 1)
-            return [pa.array(textvec.hash_ranges(pre, first[:-1], first[1:]).view(np.int64)), rows.lists(n, pa.array(keys.view(np.int64)))]
+            n, keys = bands(*features(h, first, idf), len(offsets) - 1)
+            return [pa.array(textvec.hash_sequences(h, first).view(np.int64)), rows.lists(n, pa.array(keys.view(np.int64)))]
 
         return work
 
     # a slice's features are packed with 22 bits for the text
-    signed = store.written(rows.with_result(src, "text", SIGNED, make).select("row.doc_id", "row.key", F.col("res.words").alias("node"), F.col("res.bands").alias("bands")), "signed")
+    signed = store.written(rows.with_result(src, "text", SIGNED, make, carry=["doc_id", "key"]).select("row.doc_id", "row.key", F.col("res.words").alias("node"), F.col("res.bands").alias("bands")), "signed")
     nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.any_value("bands").alias("bands"))
     nodes = store.written(nodes, "nodes")
     dealt = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
@@ -314,5 +342,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class, the one of the smallest id; columns as they were."""
-    gone = classes(docs, doc_id, text).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
-    return docs.join(gone, (F.col(f"`{doc_id}`") == F.col("_gone_id")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("_gone_key")), "left_anti")
+    gone = classes(docs, doc_id, text).where("doc_id <> class_id").select("doc_id", "key").distinct()
+    held = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("key"))
+    return held.join(gone, ["doc_id", "key"], "left_anti").select("row.*")

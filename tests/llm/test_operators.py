@@ -99,7 +99,7 @@ def test_minhash_dense_block():
     base, rng = prose(5, 120), np.random.default_rng(6)
     texts = [" ".join([w if rng.random() > 0.012 else "x" + w for w in base] + base[: rng.integers(0, 30)]) for _ in range(60)]
     n = len(texts)
-    f = minhash.features(*minhash.words_of(*minhash.textvec.utf8(pa.array(texts))), np.linspace(1, 2, 1 << minhash.BITS))
+    f = minhash.features(*minhash.words_of(*minhash.textvec.utf8(pa.array(texts))), minhash.Idf(60, np.arange(3, dtype=np.int64), np.array([30, 20, 10])))
     pick = lambda t: (np.zeros((f[0] == t).sum(), int), f[1][f[0] == t], f[2][f[0] == t])
     want = {(a, b) for a in range(n) for b in range(a + 1, n) if minhash.similarity(pick(a), pick(b), 1)[0] >= 0.8}
     columns = [pa.array([0] * n, pa.int32()), pa.array([7] * n), *(pa.array([0] * n, pa.int32()) for _ in range(3)), pa.array(range(n)), pa.array(range(n)), pa.array([[1] * minhash.BANDS] * n, pa.list_(pa.int64()))]
@@ -133,18 +133,22 @@ def test_language_counts(docs):
         assert r.n_tokens == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) + 1 and r.score < 0 and r.base_score < 0
     assert language.score(docs.where("doc_id = 99"), docs.doc_id.isNotNull()).count() == 0
 
-def test_language_trains_on_all_pairs(spark):
-    # three million pairs, more than any fixed number of draws made; each context has one target
-    n = 3000
-    target = np.random.default_rng(1).permutation(n)
-    pairs = spark.createDataFrame([(k * (n + 1) + i, k * n + int(target[i]), 500) for k in (0, 1) for i in range(n)], "context int, target int, n long").repartition(4, "context")
-    model = language.train(pairs, np.full(n, 1 / n))
+def test_language_trains_on_all_texts(spark):
+    # three million pairs, more than any fixed number of draws; each word but the last has one successor
+    n, rng = 3000, np.random.default_rng(1)
+    after = rng.permutation(n)
+    texts = spark.createDataFrame([(" ".join(f"a{i} b{after[i]}" for i in rng.permutation(n)),) for _ in range(500)], "text string").repartition(4)
+    word = [f"a{i}" for i in range(n)] + [f"b{i}" for i in range(n)]
+    h = np.array([language.textvec.hash_text(w.encode()) for w in word], np.uint64)
+    known = language.Symbols(h, np.arange(2 * n, 0, -1), 2 * n, 64)
+    symbols = spark.sparkContext.broadcast(known)
+    model = language.train(texts, symbols, np.full(known.n, 1 / known.n))
+    assert (model.log_p(0, np.arange(n), n + after) > np.log(2 / n)).mean() > 0.99
     for k in (0, 1):
-        assert (model.log_p(k, np.arange(n), target) > np.log(2 / n)).mean() > 0.99
-    total = np.zeros(3)
-    for t in range(n):
-        total += np.exp(model.log_p(0, np.array([0, 7, n]), np.full(3, t)))
-    assert np.allclose(total, 1, atol=1e-3)
+        total = np.zeros(3)
+        for t in range(known.n):
+            total += np.exp(model.log_p(k, np.array([0, 7, known.n]), np.full(3, t)))
+        assert np.allclose(total, 1, atol=1e-3)
 
 
 def test_language_knows_words_beyond_the_commonest(spark):
