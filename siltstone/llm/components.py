@@ -21,4 +21,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = store.written(small.where("u <> v").distinct(), "edges")
+        spent, edges = edges, store.written(small.where("u <> v").distinct(), "edges")
+        store.forget(spent)

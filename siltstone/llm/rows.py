@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import textvec
+from . import store, textvec
 
 KINDS = {"string": T.StringType(), "binary": T.BinaryType()}
 
@@ -22,6 +22,7 @@ class Carried:
     """
 
     def __init__(self, docs: DataFrame, text: str, kind: str = "string", carry: list[str] | None = None, **more: Column):
+        store.small_batches(docs.sparkSession)
         self.names, self.text = docs.columns if carry is None else carry, text
         # the text itself comes back only where it is carried and is what Python gets
         self.back = text in self.names and docs.schema[text].dataType == KINDS[kind]

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import folders
+
+#: Bytes of an Arrow batch. Spark's own 64 MB, with buffers that double as they grow and copies on both sides, take hundreds
+#: of MB outside the heap of an executor, for texts that are then handled a slice at a time.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        found = sc._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            folder = found.get()
-        else:
-            folder = tempfile.mkdtemp(prefix="siltstone-")
-            sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's limit for Arrow batches, unless it has one that is not Spark's own."""
+    if spark.conf.get(BATCH[0], "67108864b") in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(BATCH[0], BATCH[1])
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as Parquet and read again: later plans start from the files, which a lost executor can't take along."""
-    path = f"{shared_folder(df.sparkSession)}/siltstone/{name}-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
+    path = folders.working(df.sparkSession, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that no later plan reads."""
+    folders.Folder(df.sparkSession, df.written_at).delete()
