@@ -36,7 +36,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = substrings.dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", "res.n_words", "res.n_removed", F.sha2(F.col("res.kept").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -3,15 +3,18 @@
 The smallest k-mer (by hash) of each window of words is an edge; a document is a path over the edges it
 samples, and the run of windows that share an edge is a step of that path. An edge whose steps all read the
 same words does not branch: the step is compacted to one unit, however many documents repeat it. Where steps
-differ the edge branches and each of its windows is a unit. Spark joins find the smallest document of each
+differ the edge branches and each of its windows is a unit, if the smallest longer k-mer inside the window (its inner
+edge) is one that several documents hold. Spark joins find the smallest document of each
 unit, and every occurrence in a larger document comes back as source coordinates (document, first word, word
 after the last). A window has exactly one edge, given by its words alone, so the units find all repeated windows.
 
-Two equal units agree in 128 bits: the edge's and their own hash. Bitmaps of bounded size (see bitmap) leave
-out most units that occur once; whatever passes them is grouped exactly.
+Two equal units agree in 128 bits: the edge's and their own hash, over 64 bits of each word. Bitmaps of bounded size
+(see bitmap) leave out most units that occur once; whatever passes them is grouped exactly.
 
-Words are runs without ASCII white space. Null and empty texts have no words. Rows with a null id are kept as
-they are and remove nothing; rows that repeat an id never remove each other's words.
+Words are runs without ASCII white space. Null and empty texts have no words, an empty table gives no rows. Rows with a
+null id are kept as they are and remove nothing; rows that repeat an id never remove each other's words. Of texts that are
+all alike the one of the smallest id stays whole. A very long text is a slice of its own. Rows keep all their columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import bitmap, decontaminate, store, textvec
+from . import bitmap, decontaminate, rows, store, textvec
 
 WINDOW = 50
 EDGE = 12
+#: Words of an inner edge, as a percentage of a window's.
+INNER = 80
 _POS = np.uint64((1 << 28) - 1)
 _BASE = 0xA0761D6478BD642F | 1
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(decontaminate.SPAN))])
@@ -65,14 +70,26 @@ class Steps:
         self.text, self.edge = text[self.begin], kmer[m[head]]
         self.words = textvec.hash_ranges(self.pre, self.begin, self.last + window, _BASE)
 
-    def units(self, branching: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, edge, unit, first word, end) of all units that may repeat; words count from the text's start."""
-        many = bitmap.maybe(branching, self.edge)
-        one = np.flatnonzero(~many & bitmap.maybe(repeated, self.words))
-        many = np.flatnonzero(many)
+    def windows(self, branching: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(step, first word, inner edge) of all windows of branching edges."""
+        many = np.flatnonzero(bitmap.maybe(branching, self.edge))
         n = self.last[many] - self.begin[many] + 1
         step = np.repeat(many, n)
         at = self.begin[step] + np.arange(len(step)) - np.repeat(np.cumsum(n) - n, n)
+        if not len(at):
+            return step, at, np.zeros(0, np.uint64)
+        size = max(self.window * INNER // 100, 1)
+        place = np.arange(len(self.pre) - size)
+        kmer = textvec.hash_ranges(self.pre, place, place + size, _BASE)
+        low = sliding_min(kmer & ~_POS | place.astype(np.uint64), self.window - size + 1)
+        return step, at, kmer[(low[at] & _POS).astype(np.int64)]
+
+    def units(self, branching: np.ndarray, inner: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, edge, unit, first word, end) of all units that may repeat; words count from the text's start."""
+        one = np.flatnonzero(~bitmap.maybe(branching, self.edge) & bitmap.maybe(repeated, self.words))
+        step, at, edge = self.windows(branching)
+        use = bitmap.maybe(inner, edge)
+        step, at = step[use], at[use]
         unit = textvec.hash_ranges(self.pre, at, at + self.window, _BASE) if len(at) else np.zeros(0, np.uint64)
         step, unit = np.concatenate([one, step]), np.concatenate([self.words[one], unit])
         begin, end = np.concatenate([self.begin[one], at]), np.concatenate([self.last[one], at]) + self.window
@@ -119,15 +136,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> D
     branches = graph.groupBy("edge").agg(F.count("*").alias("n"), *both).where("n > 1 AND lo < hi")
     branching, repeated = sc.broadcast(bitmap.of(branches.select("edge"), "edge")), sc.broadcast(bitmap.of(graph.where("lo < hi").select("words"), "words"))
 
+    def inside(ids, keys, data, offsets):
+        s = Steps(data, offsets, window, edge)
+        step, _, inner = s.windows(branching.value)
+        return [x for k, x in enumerate(smallest([inner, np.zeros(len(inner), np.uint64)], ids[s.text[step]])) if k != 1]
+
+    shared = emitted(docs, "inner long, lo long, hi long", inside).groupBy("inner").agg(*both).where("lo < hi")
+    inner = sc.broadcast(bitmap.of(store.written(shared.select("inner"), "inner"), "inner"))
+
     def units(ids, keys, data, offsets):
-        text, e, unit, _, _ = Steps(data, offsets, window, edge).units(branching.value, repeated.value)
+        text, e, unit, _, _ = Steps(data, offsets, window, edge).units(branching.value, inner.value, repeated.value)
         return smallest([e, unit], ids[text])
 
     shared = store.written(emitted(docs, "edge long, unit long, lo long, hi long", units).groupBy("edge", "unit").agg(*both).where("lo < hi").select("edge", "unit", "lo"), "units")
     found = sc.broadcast(bitmap.of(shared.select("unit"), "unit"))
 
     def places(ids, keys, data, offsets):
-        text, e, unit, start, end = Steps(data, offsets, window, edge).units(branching.value, repeated.value)
+        text, e, unit, start, end = Steps(data, offsets, window, edge).units(branching.value, inner.value, repeated.value)
         at = np.flatnonzero(bitmap.maybe(found.value, unit))
         return [ids[text[at]], keys[text[at]], e[at], unit[at], start[at].astype(np.int32), end[at].astype(np.int32)]
 
@@ -136,45 +161,52 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> D
     return later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, edge: int = EDGE) -> DataFrame:
-    """Columns row (all of docs) and res: n_words, n_removed, kept (the words left, joined by one space) and spans."""
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, edge: int = EDGE, carry: list[str] | None = None, original: bool = False) -> DataFrame:
+    """Columns row (all of docs, or those of carry) and res: n_words, n_removed, kept and spans.
+
+    kept has the words left, joined by one space; with `original`, a text of which nothing goes is kept as it is.
+    """
     value = F.col(f"`{text}`").cast("string")
-    src = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(value).alias("key"), value.alias("text"))
-    spans = repeated_spans(src.select("doc_id", "key", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), window, edge)
-    shape = T.StructType([src.schema["row"], T.StructField("res", RESULT)])
+    held = rows.Carried(docs, text, carry=carry, doc_id=F.col(f"`{doc_id}`").cast("long"), key=F.xxhash64(value))
+    back, source = held.back, held.source
+    spans = repeated_spans(source.select("doc_id", "key", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), window, edge)
 
     def run(batches):
         for batch in batches:
-            data, offsets = textvec.utf8(batch.column(1))
-            spans = batch.column(2)
+            data, offsets = textvec.utf8(batch.column("text"))
+            spans, null = batch.column("spans"), batch.column("text").is_null().to_numpy(zero_copy_only=False)
             for a, b in textvec.slices(offsets):
                 lo, hi = int(offsets[a]), int(offsets[b])
                 part, off = data[lo:hi], offsets[a : b + 1] - lo
                 starts, ends, first = textvec.word_spans(part, off, textvec.SPACED)
                 raw = part.tobytes()
-                n, gone, kept, where = [], [], [], []
+                n, gone, kept, where = np.diff(first), [], [], []
                 for k in range(b - a):
                     i, j = int(first[k]), int(first[k + 1])
                     found = spans[a + k]
-                    keep = np.ones(j - i, bool)
-                    merged = []
+                    keep, merged = None, []
                     if found.is_valid and len(found):
                         s, e = (found.values.field(c).to_numpy().astype(np.int64) for c in ("start", "end"))
                         _, s, e = decontaminate.merge_spans(np.zeros(len(s), np.int64), s, e)
                         merged = [{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)]
+                        keep = np.ones(j - i, bool)
                         for x, y in zip(s, e, strict=True):
                             keep[x:y] = False
-                    n.append(j - i)
-                    gone.append(int((~keep).sum()))
-                    kept.append(b" ".join([raw[x:y] for x, y in zip(starts[i:j][keep].tolist(), ends[i:j][keep].tolist(), strict=True)]).decode("utf-8"))
+                    gone.append(0 if keep is None else int((~keep).sum()))
                     where.append(merged)
-                res = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=RESULT.fieldNames())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), res], names=["row", "res"])
+                    if original and not gone[-1]:
+                        kept.append(None if null[a + k] else raw[int(off[k]) : int(off[k + 1])].decode("utf-8"))
+                    else:
+                        x, y = (starts[i:j], ends[i:j]) if keep is None else (starts[i:j][keep], ends[i:j][keep])
+                        kept.append(b" ".join([raw[u:v] for u, v in zip(x.tolist(), y.tolist(), strict=True)]).decode("utf-8"))
+                res = pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=RESULT.fieldNames())
+                yield rows.again(batch, back, a, b, res=res)
 
-    return src.join(spans, ["doc_id", "key"], "left").select("row", "text", "spans").mapInArrow(run, shape)
+    full = source.join(spans, ["doc_id", "key"], "left").select("kept", "text", "spans")
+    return full.mapInArrow(run, T.StructType([*held.shape, T.StructField("res", RESULT)])).select(held.row(), "res")
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated words removed from the texts that hold any; texts without stay as they are."""
-    found = dedup(docs, doc_id, text)
-    return found.select(*[(F.when(F.col("res.n_removed") > 0, F.col("res.kept")).otherwise(F.col(f"row.`{c}`")) if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    found = dedup(docs, doc_id, text, carry=[c for c in docs.columns if c != text], original=True)
+    return found.select(*[F.col("res.kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
