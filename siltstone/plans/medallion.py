@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import columns as C
 from ..operators import history, rows
 from ..sources import local, messages
+from ..sources.catalog import Catalog
 from ..sources.folders import Folder, working
 from ..sources.lake import LakeTable, SchemaMismatch
 from ..streaming import ingest
@@ -681,3 +682,49 @@ def q90_line_revenue_top10(spark, d):
     lines = latest_lines(spark, d).withColumn("line_revenue", C.line_revenue(F.col("l_extendedprice"), F.col("l_quantity")))
     found = lines.join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("p_name")
     return found.agg(C.money(F.col("line_revenue")).alias("total_revenue"), F.sum(F.col("l_quantity").cast("bigint")).alias("total_units")).orderBy(F.desc("total_revenue"), "p_name").limit(10)
+
+
+@query("SELECT n_name, n_regionkey FROM nation")
+def q91_named_table(spark, d):
+    """A table of a schema, written and read by its name."""
+    found = Catalog(spark, working(spark, "catalog"))
+    found.create_schema("bronze")
+    found.create_schema("bronze")
+    found.table("bronze.nations").overwrite(table(spark, d, "nation").select("n_name", "n_regionkey"))
+    if found.tables("bronze") != ["nations"]:
+        raise AssertionError(f"tables {found.tables('bronze')}")
+    return found.read("bronze.nations")
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 1")
+def q92_volume_files(spark, d):
+    """Files put into a volume, copied, listed, removed, and read where they are."""
+    found = Catalog(spark, working(spark, "catalog"))
+    found.create_schema("raw")
+    volume = found.create_volume("raw.landing")
+    names = [r.n_name for r in table(spark, d, "nation").where("n_regionkey = 1").select("n_name").collect()]
+    volume.write("in/a.json", "\n".join(json.dumps({"n_name": n}) for n in names))
+    volume.copy("in", "out")
+    volume.delete("in")
+    if volume.children() != ["out"] or volume.children("out") != ["a.json"]:
+        raise AssertionError(f"files {volume.files()}")
+    return spark.read.json(f"{volume.path}/out")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) total_rows, CAST(8 AS BIGINT) columns, true printed FROM customer")
+def q93_inspection(spark, d):
+    """What display, show, printSchema and len(columns) tell of a frame."""
+    c = table(spark, d, "customer").select("*", *[F.lit(k).alias(f"x{k}") for k in range(3)])
+    shown = c.schema.treeString() if hasattr(c.schema, "treeString") else c._jdf.schema().treeString()
+    text = c._show_string(2, False, False)
+    return spark.createDataFrame([(c.count(), len(c.columns), "c_custkey" in shown and "|c_custkey" in text)], "total_rows long, columns long, printed boolean")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) n FROM events GROUP BY event_type")
+def q94_producer_and_consumer(spark, d):
+    """Events made by rule are sent as messages at a rate, consumed in a stream, and counted by type."""
+    root, out = working(spark, "produced").removeprefix("file:"), lake(spark)
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id").orderBy("event_id")
+    messages.send(root, "events", 0, (json.dumps(r.asDict()) for r in e.toLocalIterator()))
+    ingest.into_table(messages.payloads(messages.messages(spark, path=root, subscribe="events"), "event_id long, event_type string, user_id long"), out, f"{root}-checkpoint")
+    return out.read().where("raw IS NULL").groupBy("event_type").agg(F.count("*").alias("n"))

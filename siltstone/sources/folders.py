@@ -88,3 +88,16 @@ class Folder:
 
     def delete(self, name: str = "") -> bool:
         return self.fs.delete(self._path(name), True)
+
+    def make(self, name: str = "") -> None:
+        self.fs.mkdirs(self._path(name))
+
+    def children(self, name: str = "") -> list[str]:
+        """Names of the files and folders right below."""
+        if not self.exists(name):
+            return []
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self._path(name)))
+
+    def copy(self, name: str, to: str) -> None:
+        """A file or folder, within this folder."""
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self._path(name), self.fs, self._path(to), False, self.conf)

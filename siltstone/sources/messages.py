@@ -43,7 +43,7 @@ def files(path: str, topic: str, partition: int) -> list[tuple[int, int, str]]:
 def ends(path: str, topic: str) -> dict[int, int]:
     """The next offset of each partition."""
     folder = os.path.join(path, topic)
-    parts = sorted(int(p) for p in os.listdir(folder)) if os.path.isdir(folder) else []
+    parts = sorted(int(p) for p in os.listdir(folder) if p.isdigit()) if os.path.isdir(folder) else []
     return {p: max((b for _, b, _ in files(path, topic, p)), default=0) for p in parts}
 
 
