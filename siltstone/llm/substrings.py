@@ -8,8 +8,9 @@ edge) is one that several documents hold. Spark joins find the smallest document
 unit, and every occurrence in a larger document comes back as source coordinates (document, first word, word
 after the last). A window has exactly one edge, given by its words alone, so the units find all repeated windows.
 
-Two equal units agree in 128 bits: the edge's and their own hash, over 64 bits of each word. Bitmaps of bounded size
-(see bitmap) leave out most units that occur once; whatever passes them is grouped exactly.
+Bitmaps of bounded size (see bitmap) leave out most units that occur once; whatever passes them is placed: its source
+coordinates are kept, and its words are read again there. Equal units agree in the hashes of edge and unit, over 64
+bits of each word, and in a hash of their words' bytes.
 
 Words are runs without ASCII white space. Null and empty texts have no words, an empty table gives no rows. Rows with a
 null id are kept as they are and remove nothing; rows that repeat an id never remove each other's words. Of texts that are
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import bitmap, decontaminate, rows, store, textvec
@@ -47,7 +49,7 @@ class Steps:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, edge: int):
         starts, ends, self.first = textvec.word_spans(data, offsets, textvec.SPACED)
-        self.window = window
+        self.data, self.starts, self.ends, self.window = data, starts, ends, window
         n = len(starts)
         self.text = self.begin = self.last = np.zeros(0, np.int64)
         self.edge = self.words = np.zeros(0, np.uint64)
@@ -97,6 +99,18 @@ class Steps:
         return self.text[step], self.edge[step], unit, begin - base, end - base
 
 
+    def proofs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes of words start:end, joined by one space each."""
+        size = self.ends - self.starts
+        word = np.repeat(np.arange(len(size)), size)
+        byte = np.arange(len(word)) - (np.cumsum(size) - size)[word]
+        at = np.concatenate([[0], np.cumsum(size + 1)])
+        spaced = np.full(int(at[-1]), 0x20, np.uint8)
+        spaced[at[word] + byte] = self.data[self.starts[word] + byte]
+        raw = memoryview(spaced)
+        return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[start].tolist(), (at[end] - 1).tolist(), strict=True)], np.uint64)
+
+
 def emitted(docs: DataFrame, columns: str, fn) -> DataFrame:
     """Rows that fn(ids, keys, data, offsets) gives, as arrays, for slices of docs (doc_id, key, text)."""
     names = [c.split()[0] for c in columns.split(", ")]
@@ -135,6 +149,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> D
     graph = store.written(emitted(docs, "edge long, words long, lo long, hi long", steps).groupBy("edge", "words").agg(*both), "steps")
     branches = graph.groupBy("edge").agg(F.count("*").alias("n"), *both).where("n > 1 AND lo < hi")
     branching, repeated = sc.broadcast(bitmap.of(branches.select("edge"), "edge")), sc.broadcast(bitmap.of(graph.where("lo < hi").select("words"), "words"))
+    store.forget(graph)
 
     def inside(ids, keys, data, offsets):
         s = Steps(data, offsets, window, edge)
@@ -142,22 +157,31 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> D
         return [x for k, x in enumerate(smallest([inner, np.zeros(len(inner), np.uint64)], ids[s.text[step]])) if k != 1]
 
     shared = emitted(docs, "inner long, lo long, hi long", inside).groupBy("inner").agg(*both).where("lo < hi")
-    inner = sc.broadcast(bitmap.of(store.written(shared.select("inner"), "inner"), "inner"))
+    shared = store.written(shared.select("inner"), "inner")
+    inner = sc.broadcast(bitmap.of(shared, "inner"))
+    store.forget(shared)
 
     def units(ids, keys, data, offsets):
         text, e, unit, _, _ = Steps(data, offsets, window, edge).units(branching.value, inner.value, repeated.value)
         return smallest([e, unit], ids[text])
 
-    shared = store.written(emitted(docs, "edge long, unit long, lo long, hi long", units).groupBy("edge", "unit").agg(*both).where("lo < hi").select("edge", "unit", "lo"), "units")
-    found = sc.broadcast(bitmap.of(shared.select("unit"), "unit"))
+    shared = store.written(emitted(docs, "edge long, unit long, lo long, hi long", units).groupBy("edge", "unit").agg(*both).where("lo < hi").select("unit"), "units")
+    found = sc.broadcast(bitmap.of(shared, "unit"))
+    store.forget(shared)
 
     def places(ids, keys, data, offsets):
-        text, e, unit, start, end = Steps(data, offsets, window, edge).units(branching.value, inner.value, repeated.value)
+        s = Steps(data, offsets, window, edge)
+        text, e, unit, start, end = s.units(branching.value, inner.value, repeated.value)
         at = np.flatnonzero(bitmap.maybe(found.value, unit))
-        return [ids[text[at]], keys[text[at]], e[at], unit[at], start[at].astype(np.int32), end[at].astype(np.int32)]
-
-    placed = emitted(docs, "doc_id long, key long, edge long, unit long, start int, end int", places)
-    later = placed.join(shared, ["edge", "unit"]).where("doc_id > lo")
+        text, start, end = text[at], start[at], end[at]
+        proof = s.proofs(start + s.first[text], end + s.first[text])
+        return [ids[text], keys[text], e[at], unit[at], proof, start.astype(np.int32), end.astype(np.int32)]
+
+    # what is held to be equal is read again at its coordinates: a unit is that of the words that prove it
+    placed = store.written(emitted(docs, "doc_id long, key long, edge long, unit long, proof long, start int, end int", places), "placed")
+    same = ["edge", "unit", "proof"]
+    earliest = placed.groupBy(*same).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    later = placed.join(earliest, same).where("doc_id > lo")
     return later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
