@@ -3,12 +3,15 @@
 A word is the sum of hashed embeddings: of the whole word and of its first 4 and 6 bytes. Filters over
 1, 2 and 3 words, a ramp, and the maximum over the whole text feed one logistic output. The output is
 shifted by a threshold found for the language that the text itself shows (its most frequent function
-words; no column but the text is read), so that a score of 0.5 is that threshold.
+words; no column but the text is read), so that a score of 0.5 is that threshold. `NETWORKS` networks of different starts
+and held-out parts score together, by the mean of their shifted outputs: one alone varies much where labels are few.
 
 Words: A-Z lower-cased, runs of 0-9, a-z and non-ASCII bytes. Null and empty texts have no words: every
 maximum is 0 and the output is the intercept's. With no labelled row at all every score is 0.5 less a
 hair, so nothing is rejected. The fit sees at most `limit` rows of each label; scoring covers whole
-texts of all rows and shuffles nothing.
+texts of all rows and shuffles nothing. Equal texts have equal scores; a very long text is a slice of its own; an
+empty table gives no rows; an id labelled twice counts once, by its larger label; rows keep all their columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ FUNCTION_WORDS = {
     "es": "el los las y del se por con una para como está su al lo más pero sus",
 }
 LANGUAGES = [*FUNCTION_WORDS, "other"]
-BITS, DIM, WIDTHS, FILTERS = 16, 12, (1, 2, 3), 8
+BITS, DIM, WIDTHS, FILTERS, NETWORKS = 16, 12, (1, 2, 3), 8, 3
 #: Labelled rows of each label that a fit may see.
 LIMIT = 2500
 
@@ -57,6 +60,7 @@ class Network:
     """Weights: embeddings, filters (width, dim, filters), their biases, output weights and bias, thresholds by language."""
 
     def __init__(self, seed: int = 7):
+        self.seed = seed
         r = np.random.default_rng(seed)
         self.embed = (r.standard_normal((1 << BITS, DIM)) * 0.1).astype(np.float32)
         self.filters = [(r.standard_normal((w, DIM, FILTERS)) * (0.5 / w)).astype(np.float32) for w in WIDTHS]
@@ -120,7 +124,7 @@ class Network:
 
     def fit(self, texts: list[np.ndarray], languages: np.ndarray, y: np.ndarray, share: float, epochs: int = 8, batch: int = 64) -> Network:
         """texts: buckets of each text. A fifth is kept for the thresholds."""
-        order = np.random.default_rng(1).permutation(len(texts))
+        order = np.random.default_rng(self.seed).permutation(len(texts))
         held = order[: len(order) // 5] if len(order) >= 50 else order
         train = order[len(order) // 5 :] if len(order) >= 50 else order
         gather = lambda ids: (np.concatenate([texts[i] for i in ids]) if len(ids) else np.zeros((0, 3), np.int32), np.cumsum([0, *(len(texts[i]) for i in ids)]))
@@ -137,6 +141,16 @@ class Network:
         return self
 
 
+class Committee:
+    """Networks that score together."""
+
+    def __init__(self, networks: list[Network]):
+        self.networks = networks
+
+    def logits(self, buckets: np.ndarray, first: np.ndarray, language: np.ndarray) -> np.ndarray:
+        return sum(n.logits(buckets, first) - n.thresholds[language] for n in self.networks) / len(self.networks)
+
+
 def threshold(logit: np.ndarray, y: np.ndarray, weight: np.ndarray, otherwise: float) -> float:
     """The middle of the widest gap among the cuts with the fewest (weighted) errors."""
     if not len(y) or y.min() == y.max():
@@ -154,8 +168,8 @@ SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("lan
 BUCKETS = T.StructType([T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("language", T.IntegerType())])
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", limit: int = LIMIT) -> Network:
-    """A network from the labelled rows that `allowed` (over labels) takes."""
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", limit: int = LIMIT) -> Committee:
+    """Networks from the labelled rows that `allowed` (over labels) takes."""
 
     def make():
         def work(data, offsets):
@@ -164,24 +178,24 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
 
         return work
 
-    table = rows.with_result(labelled.sample(docs, labels, label, allowed, limit), "text", BUCKETS, make).select("row.y", "res.buckets", "res.language").toArrow()
+    table = rows.with_result(labelled.sample(docs, labels, label, allowed, limit), "text", BUCKETS, make, carry=["y"]).select("row.y", "res.buckets", "res.language").toArrow()
     share = labels.where(allowed & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    net = Network()
     if share is None or share in (0, 1) or not table.num_rows:
+        net = Network()
         net.out[:] = 0
         net.bias = np.float32(4.0 if share == 1 else -4.0 if share == 0 else -1e-6)
-        return net
-    b = table.column("buckets").combine_chunks()
-    values, off = b.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(b.value_lengths().to_numpy(zero_copy_only=False))])
-    texts = [values[a:z].reshape(-1, 3) for a, z in zip(off[:-1], off[1:], strict=True)]
+        return Committee([net])
+    values, cut = labelled.flat(table.column("buckets"))
     y, language = (table.column(c).to_numpy() for c in ("y", "language"))
-    order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), texts[i].tobytes(), y[i]))
-    return net.fit([texts[i] for i in order], language[order], y[order], share)
+    order = labelled.order(y, cut, values)
+    texts = [values[cut[i] : cut[i + 1]].reshape(-1, 3) for i in order]
+    return Committee([Network(7 + k).fit(texts, language[order], y[order], share) for k in range(NETWORKS)])
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """Columns row (all of docs) and res: score in 0 to 1 and the language it was calibrated for."""
-    net.slack = None
+def score(docs: DataFrame, net: Committee, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Columns row (all of docs, or those of carry) and res: score in 0 to 1 and the language it was calibrated for."""
+    for n in net.networks:
+        n.slack = None
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size
 
     def make():
@@ -189,14 +203,14 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
         def work(data, offsets):
             buckets, first, language = words_of(data, offsets)
-            logit = model.logits(buckets, first) - model.thresholds[language]
+            logit = model.logits(buckets, first, language)
             return [pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35)))), pa.array(np.array(LANGUAGES, object)[language], pa.string())]
 
         return work
 
-    return rows.with_result(docs, text, SCORE, make)
+    return rows.with_result(docs, text, SCORE, make, carry=carry)
 
 
-def remove(docs: DataFrame, net: Network) -> DataFrame:
+def remove(docs: DataFrame, net: Committee) -> DataFrame:
     """docs without those scored 0.5 or more; columns as they were."""
     return score(docs, net).where("res.score < 0.5").select("row.*")
