@@ -7,9 +7,11 @@ the array start with fewer known words than the shortest window, so none of them
 
 Words: A-Z lower-cased, then runs of 0-9, a-z and non-ASCII bytes. A window is `window` words of an
 item, or a whole shorter item. Null and empty texts have no words and match nothing; repeated rows
-and items each count for themselves; an item with a null id is left out, having no name to report.
+and items each count for themselves; an item with a null id is left out, having no name to report. A very long
+text is a shard of its own; an empty table gives no rows, an empty benchmark no hits; rows keep all their
+columns, whatever their names.
 
-The benchmark is shipped to the executors in blocks of at most `block_bytes`: each block is one more
+The benchmark is broadcast in blocks of at most `block_bytes`, one at a time: each block is one more
 narrow pass over the rows, never a join, so neither the benchmark's size nor a passage that a third of
 the documents hold makes any task larger.
 """
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from . import rows, textvec
+from . import rows, store, textvec
 
 #: Benchmark text in one block, in bytes.
 BLOCK_BYTES = 16 << 20
@@ -128,9 +130,11 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return doc[head], start[head], reach[np.append(head[1:], len(doc)) - 1] - shift[head]
 
 
-def scanner(items: list[tuple[int, str]], window: int):
+def scanner(items, window: int):
+    """items: a broadcast block of (item id, text)."""
+
     def make():
-        block = Items(items, window)
+        block = Items(items.value, window)
 
         def work(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
             h, first = words_of(data, offsets)
@@ -148,18 +152,27 @@ def scanner(items: list[tuple[int, str]], window: int):
     return make
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns row (all of docs) and res: n_words, spans (hit word ranges, sorted and disjoint) and matches (longest verbatim matches and where they lie)."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """Columns row (all of docs, or those of carry) and res: n_words, spans (hit word ranges, sorted and disjoint) and matches (longest verbatim matches and where they lie)."""
+    sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    out = None
+    block = lambda k: sc.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()])
+    if n == 1:
+        return rows.with_result(docs, "text", RESULT, scanner(block(0), window), carry=carry)
+    # each block's pass is written, so that no more than one block is held at a time
+    names = docs.columns if carry is None else carry
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"), F.lit(None).cast(RESULT).alias("so_far"))
     for k in range(n):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
-        src = docs if out is None else out.select(F.struct("row", "res").alias("kept"), F.col("row.text").alias("text"))
-        found = rows.with_result(src, "text", RESULT, scanner(block, window))
-        out = found if out is None else found.select(F.col("row.kept.row").alias("row"), joined(F.col("row.kept.res"), F.col("res")).alias("res"))
-    return out
+        shared, spent = block(k), out
+        found = rows.with_result(out, "text", RESULT, scanner(shared, window))
+        res = F.when(F.col("row.so_far").isNull(), F.col("res")).otherwise(joined(F.col("row.so_far"), F.col("res")))
+        out = store.written(found.select(F.col("row.row").alias("row"), F.col("row.text").alias("text"), res.alias("so_far")), "scanned")
+        shared.destroy()
+        if k:
+            store.forget(spent)
+    return out.select("row", F.col("so_far").alias("res"))
 
 
 def joined(a: Column, b: Column) -> Column:
