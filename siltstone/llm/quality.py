@@ -6,7 +6,9 @@ token (a repeat). A document is the vector of 1 + ln(count), scaled to length 1.
 products computed over whole texts, row by row, without a shuffle. Null and empty texts have no
 feature and get the score of the intercept alone; with no labelled row at all every score is 0.5.
 
-The fit sees at most `limit` rows of each label; everything else covers all rows.
+The fit sees at most `limit` rows of each label; everything else covers all rows. Equal texts have equal scores; a very
+long text is a slice of its own; an empty table gives no rows; an id labelled twice counts once, by its larger label; rows
+keep all their columns, whatever their names.
 """
 
 from __future__ import annotations

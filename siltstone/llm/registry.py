@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, labelled, language, minhash, quality, repair, store, substrings, toxicity, vectors
+from . import bpe, decontaminate, html, labelled, language, minhash, oracle, quality, repair, store, substrings, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), labelled.remainder("doc_id", 5) != 0)
-    return classified(toxicity.score(docs, net), lambda c: labelled.remainder(c, 5) == 0)
+    return classified(toxicity.score(docs, net, carry=["doc_id"]), lambda c: labelled.remainder(c, 5) == 0)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each worker learns its words: the documents are dealt out and encoded in one pass
     coded = bpe.encode(docs, byte_bpe(), counted=False, carry=["doc_id"])
     end = (2).to_bytes(4, "little")
-    coded = store.written(coded.select("row.doc_id", F.concat("ids", F.lit(end)).alias("ids")), "ids")
-    found = repair.read(repair.write(coded))
+    found = repair.read(repair.write(coded.select("row.doc_id", F.concat("ids", F.lit(end)).alias("ids"))))
     return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
@@ -101,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
