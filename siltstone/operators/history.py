@@ -111,10 +111,6 @@ class Staged:
         Folder(self.spark, self.path).delete()
 
 
-def typed(table: LakeTable, at: str, given: list[str]) -> list[Column]:
-    return [F.col(f"{at}.`{c}`").cast(k).alias(c) for c, k in table.state().schema.items() if c in given]
-
-
 def merge_scd1(table: LakeTable, source: DataFrame, keys: list[str], audit: dict[str, Column] | None = None, only_changed: bool = True) -> dict[str, int]:
     """Source rows replace target rows of their key or are added; `audit` columns (such as an update time) are set on every row written."""
     audit, base = audit or {}, table.state()

@@ -728,3 +728,11 @@ def q94_producer_and_consumer(spark, d):
     messages.send(root, "events", 0, (json.dumps(r.asDict()) for r in e.toLocalIterator()))
     ingest.into_table(messages.payloads(messages.messages(spark, path=root, subscribe="events"), "event_id long, event_type string, user_id long"), out, f"{root}-checkpoint")
     return out.read().where("raw IS NULL").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN c_custkey % 97 <> 0 THEN CAST(c_custkey AS INTEGER) END c_custkey, CAST(c_nationkey AS DOUBLE) c_nationkey, c_name, CASE WHEN c_custkey % 97 = 0 THEN 'bad-' ELSE '' END || CAST(c_custkey AS VARCHAR) raw_c_custkey FROM customer")
+def q95_typed_with_raw(spark, d):
+    """Text columns typed by a list of kinds; the key's raw text stays beside it."""
+    key = F.col("c_custkey").cast("string")
+    raw = customers(spark, d).select(F.when(F.col("c_custkey") % 97 == 0, F.concat(F.lit("bad-"), key)).otherwise(key).alias("c_custkey"), F.col("c_nationkey").cast("string").alias("c_nationkey"), "c_name")
+    return C.typed(raw, {"c_custkey": "int", "c_nationkey": "double"}, ("c_custkey",))

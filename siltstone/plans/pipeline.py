@@ -20,10 +20,6 @@ from ..sources.lake import LakeTable
 from ..streaming.ingest import FileIngest
 
 
-class ExpectationFailed(ValueError):
-    """Rows broke a rule that must hold."""
-
-
 @dataclass
 class Dataset:
     name: str
