@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, labelled, language, minhash, oracle, quality, repair, store, substrings, toxicity, vectors
+from . import bpe, decontaminate, html, labelled, language, minhash, oracle, quality, repair, substrings, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
