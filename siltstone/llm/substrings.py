@@ -8,9 +8,8 @@ edge) is one that several documents hold. Spark joins find the smallest document
 unit, and every occurrence in a larger document comes back as source coordinates (document, first word, word
 after the last). A window has exactly one edge, given by its words alone, so the units find all repeated windows.
 
-Bitmaps of bounded size (see bitmap) leave out most units that occur once; whatever passes them is placed: its source
-coordinates are kept, and its words are read again there. Equal units agree in the hashes of edge and unit, over 64
-bits of each word, and in a hash of their words' bytes.
+Bitmaps of bounded size (see bitmap) leave out most units that occur once; whatever passes them is read at its source
+coordinates and grouped exactly. Equal units agree in 128 bits: a hash of all their words' bytes and the edge's.
 
 Words are runs without ASCII white space. Null and empty texts have no words, an empty table gives no rows. Rows with a
 null id are kept as they are and remove nothing; rows that repeat an id never remove each other's words. Of texts that are
@@ -92,14 +91,12 @@ class Steps:
         step, at, edge = self.windows(branching)
         use = bitmap.maybe(inner, edge)
         step, at = step[use], at[use]
-        unit = textvec.hash_ranges(self.pre, at, at + self.window, _BASE) if len(at) else np.zeros(0, np.uint64)
-        step, unit = np.concatenate([one, step]), np.concatenate([self.words[one], unit])
         begin, end = np.concatenate([self.begin[one], at]), np.concatenate([self.last[one], at]) + self.window
+        step = np.concatenate([one, step])
         base = self.first[self.text[step]]
-        return self.text[step], self.edge[step], unit, begin - base, end - base
+        return self.text[step], self.edge[step], self.read(begin, end), begin - base, end - base
 
-
-    def proofs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def read(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes of words start:end, joined by one space each."""
         size = self.ends - self.starts
         word = np.repeat(np.arange(len(size)), size)
@@ -165,23 +162,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> D
         text, e, unit, _, _ = Steps(data, offsets, window, edge).units(branching.value, inner.value, repeated.value)
         return smallest([e, unit], ids[text])
 
-    shared = store.written(emitted(docs, "edge long, unit long, lo long, hi long", units).groupBy("edge", "unit").agg(*both).where("lo < hi").select("unit"), "units")
-    found = sc.broadcast(bitmap.of(shared, "unit"))
-    store.forget(shared)
+    shared = store.written(emitted(docs, "edge long, unit long, lo long, hi long", units).groupBy("edge", "unit").agg(*both).where("lo < hi").select("edge", "unit", "lo"), "units")
+    found = sc.broadcast(bitmap.of(shared.select("unit"), "unit"))
 
     def places(ids, keys, data, offsets):
-        s = Steps(data, offsets, window, edge)
-        text, e, unit, start, end = s.units(branching.value, inner.value, repeated.value)
+        text, e, unit, start, end = Steps(data, offsets, window, edge).units(branching.value, inner.value, repeated.value)
         at = np.flatnonzero(bitmap.maybe(found.value, unit))
-        text, start, end = text[at], start[at], end[at]
-        proof = s.proofs(start + s.first[text], end + s.first[text])
-        return [ids[text], keys[text], e[at], unit[at], proof, start.astype(np.int32), end.astype(np.int32)]
-
-    # what is held to be equal is read again at its coordinates: a unit is that of the words that prove it
-    placed = store.written(emitted(docs, "doc_id long, key long, edge long, unit long, proof long, start int, end int", places), "placed")
-    same = ["edge", "unit", "proof"]
-    earliest = placed.groupBy(*same).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    later = placed.join(earliest, same).where("doc_id > lo")
+        return [ids[text[at]], keys[text[at]], e[at], unit[at], start[at].astype(np.int32), end[at].astype(np.int32)]
+
+    placed = emitted(docs, "doc_id long, key long, edge long, unit long, start int, end int", places)
+    later = placed.join(shared, ["edge", "unit"]).where("doc_id > lo")
     return later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
