@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import store
+
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
@@ -39,3 +44,25 @@ def order(y: np.ndarray, cut: np.ndarray, *values: np.ndarray) -> list[int]:
     """The rows in an order of their content alone: by length, a hash of their values, and label."""
     key = lambda i: (int(cut[i + 1] - cut[i]), *(xxhash.xxh3_64_intdigest(np.ascontiguousarray(v[cut[i] : cut[i + 1]])) for v in values), int(y[i]))
     return sorted(range(len(y)), key=key)
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table, int], object], times: int = 1) -> list:
+    """What fit(rows of the sample, k) gives for k in range(times), each in a task of its own that holds the bounded sample.
+
+    Fitting in tasks keeps the driver small, and a lost executor's fit is done again.
+    """
+    table = store.written(sample, "sample")
+    names = table.columns
+    dealt = table.select("*", F.explode(F.array(*[F.lit(k) for k in range(times)])).alias("fit")).repartition("fit")
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        held = pa.Table.from_batches(batches)
+        which = held.column("fit").to_numpy()
+        for k in np.unique(which):
+            model = fit(held.filter(pa.array(which == k)).select(names).combine_chunks(), int(k))
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], names=["fit", "model"])
+
+    return [pickle.loads(r.model) for r in sorted(dealt.mapInArrow(run, "fit int, model binary").collect(), key=lambda r: r.fit)]

@@ -96,17 +96,20 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
 
         return work
 
-    table = rows.with_result(labelled.sample(docs, labels, label, allowed, limit), "text", FEATURES, make, carry=["y"]).select("row.y", "res.bucket", "res.value").toArrow()
     both = labels.where(allowed & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    if not table.num_rows or both is None:
-        return np.zeros((1 << BITS) + 1)
+
+    def learn(table: pa.Table, _: int) -> np.ndarray:
+        y = table.column("y").to_numpy()
+        (bucket, cut), (value, _) = (labelled.flat(table.column(c)) for c in ("bucket", "value"))
+        # rows stay slices of two flat arrays
+        examples = [(bucket[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]], int(y[i])) for i in labelled.order(y, cut, bucket, value)]
+        return Ftrl().fit(examples, both).weights(slice(None))
+
     if both in (0, 1):
         return np.append(np.zeros(1 << BITS), 4.0 if both else -4.0)
-    y = table.column("y").to_numpy()
-    (bucket, cut), (value, _) = (labelled.flat(table.column(c)) for c in ("bucket", "value"))
-    # rows stay slices of two flat arrays
-    examples = [(bucket[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]], int(y[i])) for i in labelled.order(y, cut, bucket, value)]
-    return Ftrl().fit(examples, both).weights(slice(None))
+    sample = rows.with_result(labelled.sample(docs, labels, label, allowed, limit), "text", FEATURES, make, carry=["y"]).select("row.y", "res.bucket", "res.value")
+    found = labelled.fitted(sample, learn) if both is not None else []
+    return found[0] if found else np.zeros((1 << BITS) + 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -178,24 +178,30 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
 
         return work
 
-    table = rows.with_result(labelled.sample(docs, labels, label, allowed, limit), "text", BUCKETS, make, carry=["y"]).select("row.y", "res.buckets", "res.language").toArrow()
     share = labels.where(allowed & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    if share is None or share in (0, 1) or not table.num_rows:
+
+    def learn(table: pa.Table, k: int) -> Network:
+        values, cut = labelled.flat(table.column("buckets"))
+        y, language = (table.column(c).to_numpy() for c in ("y", "language"))
+        order = labelled.order(y, cut, values)
+        net = Network(7 + k).fit([values[cut[i] : cut[i + 1]].reshape(-1, 3) for i in order], language[order], y[order], share)
+        net.slack = None
+        return net
+
+    found = []
+    if share is not None and share not in (0, 1):
+        sample = rows.with_result(labelled.sample(docs, labels, label, allowed, limit), "text", BUCKETS, make, carry=["y"]).select("row.y", "res.buckets", "res.language")
+        found = labelled.fitted(sample, learn, NETWORKS)
+    if not found:
         net = Network()
         net.out[:] = 0
         net.bias = np.float32(4.0 if share == 1 else -4.0 if share == 0 else -1e-6)
-        return Committee([net])
-    values, cut = labelled.flat(table.column("buckets"))
-    y, language = (table.column(c).to_numpy() for c in ("y", "language"))
-    order = labelled.order(y, cut, values)
-    texts = [values[cut[i] : cut[i + 1]].reshape(-1, 3) for i in order]
-    return Committee([Network(7 + k).fit(texts, language[order], y[order], share) for k in range(NETWORKS)])
+        found = [net]
+    return Committee(found)
 
 
 def score(docs: DataFrame, net: Committee, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns row (all of docs, or those of carry) and res: score in 0 to 1 and the language it was calibrated for."""
-    for n in net.networks:
-        n.slack = None
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size
 
     def make():
