@@ -1,9 +1,9 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document is its five-word shingles (all its words where it has fewer), each weighted by its count times the
-mean over its words of ln(1 + documents / documents with the word). Spark counts the documents of every word; the `WORDS`
-words of most documents are broadcast, and all rarer ones have the weight of a word of as many documents as the
-rarest of those. Documents of one word sequence are one text. Consistent samples of each text, `ROWS` to a
+mean over its words of ln(1 + documents / documents with the word). Spark counts the documents of every word; the words
+of most documents, up to `WORDS`, are broadcast, and all rarer ones have the weight of a word of as many documents as
+the rarest of those. Documents of one word sequence are one text. Consistent samples of each text, `ROWS` to a
 band, deal texts into `BANDS` tables of buckets. In each bucket every text is compared with the smallest one.
 Buckets that hold several components after that are gone through in pairs of blocks of about `BLOCK` texts: the
 samples of every two texts of different components are compared, and those that agree in `AGREE` or more are
@@ -71,13 +71,12 @@ def document_counts(texts: DataFrame) -> DataFrame:
 
 
 class Idf:
-    """Weights of words by their hashes."""
+    """Weights of words by their hashes; `rest` is the number of documents that all other words count as having."""
 
-    def __init__(self, documents: int, word: np.ndarray, n: np.ndarray):
+    def __init__(self, documents: int, word: np.ndarray, n: np.ndarray, rest: int):
         self.places = words.Places()
         self.places.add(word)
-        least = n.min() if len(n) else 1
-        self.weights = np.log1p(documents / np.append(n, least)).astype(np.float32)
+        self.weights = np.log1p(documents / np.append(n, max(rest, 1))).astype(np.float32)
 
     def of(self, h: np.ndarray) -> np.ndarray:
         return self.weights[self.places.find(h.view(np.int64))]
@@ -85,14 +84,18 @@ class Idf:
 
 def weights(texts: DataFrame, most: int = WORDS) -> Idf:
     table = store.written(document_counts(texts), "documents-of-words")
-    held, least = 0, 1 << 62
-    for n, of in table.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect():
-        if held + of > most and held:
+    held, least = 0, None
+    classes = table.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect()
+    for n, of in classes:
+        if held + of > most:
             break
         held, least = held + of, n
-    # of words of as many documents as the rarest that fit, those of the lowest hashes
-    top = table.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).toArrow()
-    return Idf(texts.count(), top.column("word").to_numpy(), top.column("n").to_numpy())
+    top = table.where(F.col("n") >= least).toArrow() if least else table.limit(0).toArrow()
+    word, n = top.column("word").to_numpy(), top.column("n").to_numpy()
+    del top
+    pa.default_memory_pool().release_unused()
+    # where even the words of most documents are too many, all have the same weight
+    return Idf(texts.count(), word, n, least or (classes[0][0] if classes else 1))
 
 
 def features(h: np.ndarray, first: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -99,7 +99,7 @@ def test_minhash_dense_block():
     base, rng = prose(5, 120), np.random.default_rng(6)
     texts = [" ".join([w if rng.random() > 0.012 else "x" + w for w in base] + base[: rng.integers(0, 30)]) for _ in range(60)]
     n = len(texts)
-    f = minhash.features(*minhash.words_of(*minhash.textvec.utf8(pa.array(texts))), minhash.Idf(60, np.arange(3, dtype=np.int64), np.array([30, 20, 10])))
+    f = minhash.features(*minhash.words_of(*minhash.textvec.utf8(pa.array(texts))), minhash.Idf(60, np.arange(3, dtype=np.int64), np.array([30, 20, 10]), 10))
     pick = lambda t: (np.zeros((f[0] == t).sum(), int), f[1][f[0] == t], f[2][f[0] == t])
     want = {(a, b) for a in range(n) for b in range(a + 1, n) if minhash.similarity(pick(a), pick(b), 1)[0] >= 0.8}
     columns = [pa.array([0] * n, pa.int32()), pa.array([7] * n), *(pa.array([0] * n, pa.int32()) for _ in range(3)), pa.array(range(n)), pa.array(range(n)), pa.array([[1] * minhash.BANDS] * n, pa.list_(pa.int64()))]
