@@ -5,14 +5,14 @@ mean over its words of ln(1 + documents / documents with the word). Spark counts
 of most documents, up to `WORDS`, are broadcast, and all rarer ones have the weight of a word of as many documents as
 the rarest of those. Documents of one word sequence are one text. Consistent samples of each text, `ROWS` to a
 band, deal texts into `BANDS` tables of buckets. In each bucket every text is compared with the smallest one.
-Buckets that hold several components after that are gone through in pairs of blocks of about `BLOCK` texts: the
-samples of every two texts of different components are compared, and those that agree in `AGREE` or more are
-verified. Where these are more than `MANY` a text, the block's whole texts are compared by matrix products instead
-and only a forest of the links leaves it. A link is only left out where its ends are in one component anyway; no task
-holds a whole large bucket. Every link is verified on whole texts.
+Buckets that hold several components after that are gone through in pairs of blocks of about `BLOCK` texts and
+`BLOCK_BYTES`, texts at hand: every two texts of different components are compared, one by one or, where these are
+more than `MANY` a text, by matrix products, and then only a forest of the sure links leaves the block. A link is only
+left out where its ends are in one component anyway; no task holds a whole large bucket. Every link is verified on
+whole texts.
 
-A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**4)**12 = 0.998, and agrees in 28 of 48
-samples with probability over 0.999.
+A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**4)**12 = 0.998. All pairs of a bucket are
+compared, none is left out for its samples.
 
 Words are runs without ASCII white space, unchanged. Texts without words, null texts and rows with a null id
 link with nothing. Rows that repeat an id belong to their texts' classes each. A very long text is a slice of its own; an
@@ -30,13 +30,15 @@ from . import components, rows, store, textvec, words
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 4
 #: Words whose number of documents is broadcast, and words that a task counts before it hands them on.
 WORDS, COUNTED = 1 << 20, 1 << 19
-#: Texts in a block, samples in which a pair has to agree to be verified, and pairs a text from which a block is dense.
-BLOCK, AGREE, MANY = 1024, 28, 4
+#: Texts and bytes of texts in a block, and pairs a text from which a block is dense.
+BLOCK, BLOCK_BYTES, MANY = 1024, 16 << 20, 4
+#: Features that pairs compared at once have together.
+PAIRED = 1 << 20
 KEYS = "band", "bucket", "lo", "hi"
 _BASE = 0xE7037ED1A0B428DB | 1
 _rng = np.random.default_rng(11)
 _R, _LNC, _BETA = (x.astype(np.float32) for x in (_rng.gamma(2, 1, 1 << 16), np.log(_rng.gamma(2, 1, 1 << 16)), _rng.random(1 << 16)))
-SIGNED = T.StructType([T.StructField("words", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SIGNED = T.StructType([T.StructField("words", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,21 +207,42 @@ class Block:
         return x[use], y[use]
 
     def agreeing(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Pairs of rows that agree in `AGREE` samples; None where they are more than `MANY` a row."""
-        samples = np.ascontiguousarray(self.key.view(np.uint16).reshape(len(self.node), BANDS * ROWS).T)
+        """Pairs of rows to compare one by one; None where they are more than `MANY` a row."""
         found, held = [(np.zeros(0, np.int64),) * 2], 0
         for at in range(0, len(self.first), 64):
             i = self.first[at : at + 64]
-            same = np.zeros((len(i), len(self.second)), np.uint8)
-            for s in samples:
-                same += s[i][:, None] == s[self.second][None, :]
-            x, y = np.nonzero(same >= AGREE)
-            found.append(self.new(i[x], self.second[y]))
+            found.append(self.new(np.repeat(i, len(self.second)), np.tile(self.second, len(i))))
             held += len(found[-1][0])
             if held > MANY * len(self.node):
                 return None
         return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
 
+    def similar(self, f: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those pairs of rows that are similar; f: their features, in order of text."""
+        text, shingle, weight = f
+        total = np.bincount(text, weight, minlength=len(self.node))
+        # what two texts share is no more than the lighter one
+        use = np.minimum(total[x], total[y]) >= (least - 1e-6) * np.maximum(total[x], total[y])
+        x, y = x[use], y[use]
+        start = np.searchsorted(text, np.arange(len(self.node) + 1))
+        size = np.diff(start)
+        ends = np.cumsum(size[x] + size[y])
+        keep, a = np.zeros(len(x), bool), 0
+        while a < len(x):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRED, "right")))
+            sides = []
+            for z in (x[a:b], y[a:b]):
+                at = textvec.expand(z, start)
+                sides.append((np.repeat(np.arange(b - a), size[z]), shingle[at], weight[at]))
+            keep[a:b] = similarity(*sides, b - a) >= least - 1e-12
+            a = b
+        return x[keep], y[keep]
+
+    def links(self, f: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of similar rows that connect all that new pairs of this block connect."""
+        found = self.agreeing()
+        return self.similar(f, *(self.linked(f, least) if found is None else found), least)
+
     def linked(self, f: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
         """A spanning forest of the pairs of rows that are surely similar, and all pairs that may be; f: their features."""
         text, shingle, weight = f
@@ -272,33 +295,21 @@ class Block:
 
 
 def across(left: DataFrame, texts: DataFrame, table, least: float) -> DataFrame:
-    """Pairs (a, b) to verify of rows (band, bucket, blocks, node, component, bands): of one bucket, of different components."""
+    """Links (a, b) of rows (band, bucket, blocks, node, component, bands): of one bucket, of different components."""
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "component", "bands")
-    names = ["a", "b", *KEYS]
-
-    def pairs(block: Block, x: np.ndarray, y: np.ndarray) -> list[pa.Array]:
-        a, b = block.node[x], block.node[y]
-        return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
-
-    def sampled(batch):
-        block = Block(batch)
-        found = block.agreeing()
-        if found is None:
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([v], t) for v, t in zip((block.band, block.bucket, block.lo, block.hi), (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
-        return pa.RecordBatch.from_arrays([*pairs(block, *found), *(pa.nulls(len(found[0]), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=names)
+    dealt = left.join(texts, "node").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "component", "bands", "text")
 
-    def whole(batch):
+    def linked(batch):
         block = Block(batch)
         data, offsets = textvec.utf8(batch.column(8))
         parts = [(a, features(*words_of(data[int(offsets[a]) : int(offsets[b])], offsets[a : b + 1] - offsets[a]), table.value)) for a, b in textvec.slices(offsets)]
         f = tuple(np.concatenate([p[k] + a if k == 0 else p[k] for a, p in parts]) for k in range(3))
-        return pa.RecordBatch.from_arrays(pairs(block, *block.linked(f, least)), names=names[:2])
+        x, y = block.links(f, least)
+        a, b = block.node[x], block.node[y]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    found = store.written(grouped(dealt, "a long, b long, band int, bucket long, lo int, hi int", sampled), "agreeing")
-    dense = dealt.join(found.where("a IS NULL").select(*KEYS), [*KEYS]).join(texts, "node").select(*KEYS, "side", "node", "component", "bands", "text")
-    return found.where("a IS NOT NULL").select("a", "b").unionByName(grouped(dense, "a long, b long", whole))
+    return grouped(dealt, "a long, b long", linked)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -314,28 +325,27 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
         def work(data, offsets):
             h, first = words_of(data, offsets)
             n, keys = bands(*features(h, first, idf), len(offsets) - 1)
-            return [pa.array(textvec.hash_sequences(h, first).view(np.int64)), rows.lists(n, pa.array(keys.view(np.int64)))]
+            return [pa.array(textvec.hash_sequences(h, first).view(np.int64)), pa.array(np.diff(offsets).astype(np.int64)), rows.lists(n, pa.array(keys.view(np.int64)))]
 
         return work
 
     # a slice's features are packed with 22 bits for the text
-    signed = store.written(rows.with_result(src, "text", SIGNED, make, carry=["doc_id", "key"]).select("row.doc_id", "row.key", F.col("res.words").alias("node"), F.col("res.bands").alias("bands")), "signed")
-    nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.any_value("bands").alias("bands"))
+    signed = store.written(rows.with_result(src, "text", SIGNED, make, carry=["doc_id", "key"]).select("row.doc_id", "row.key", F.col("res.words").alias("node"), F.col("res.bytes").alias("bytes"), F.col("res.bands").alias("bands")), "signed")
+    nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.any_value("bands").alias("bands"), F.max("bytes").alias("bytes"))
     nodes = store.written(nodes, "nodes")
-    dealt = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    dealt = nodes.select("node", "bytes", F.posexplode("bands").alias("band", "bucket"))
     many = dealt.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("node").alias("center")).where("size > 1").drop("size")
-    buckets = store.written(dealt.join(many, ["band", "bucket"]).select("band", "bucket", "center", "node"), "buckets")
+    buckets = store.written(dealt.join(many, ["band", "bucket"]).select("band", "bucket", "center", "node", "bytes"), "buckets")
     near = buckets.select("node").distinct().join(nodes.select("node", "first"), "node")
     texts = store.written(src.join(near.select("node", "first.doc_id", "first.key"), ["doc_id", "key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     pairs = buckets.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = store.written(verified(pairs, texts, table, least), "links")
     found = components.components(links)
-    parts = buckets.join(found, "node", "left").select("band", "bucket", "node", F.coalesce("component", "node").alias("component"))
+    parts = buckets.join(found, "node", "left").select("band", "bucket", "node", "bytes", F.coalesce("component", "node").alias("component"))
     parts = store.written(parts, "parts")
-    open_ = parts.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of")).where("lo < hi").select("band", "bucket", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
-    left = parts.join(open_, ["band", "bucket"]).join(nodes.select("node", "bands"), "node")
-    cross = store.written(across(left, texts, table, least).distinct().join(pairs, ["a", "b"], "left_anti"), "cross")
-    links = links.unionByName(store.written(verified(cross, texts, table, least), "links"))
+    open_ = parts.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of"), F.sum("bytes").alias("bytes")).where("lo < hi").select("band", "bucket", F.ceil(F.greatest(F.col("of") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    left = parts.drop("bytes").join(open_, ["band", "bucket"]).join(nodes.select("node", "bands"), "node")
+    links = links.unionByName(store.written(across(left, texts, table, least).distinct(), "cross"))
     found = components.components(links)
     placed = nodes.select("node", F.size("bands").alias("n"), F.col("first.doc_id").alias("lowest")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = placed.groupBy("component").agg(F.min("lowest").alias("class_id"))

@@ -119,6 +119,21 @@ def test_minhash_dense_block():
     assert block.agreeing() is None
 
 
+def test_minhash_block_leaves_no_pair_out_for_its_samples():
+    # alike by their texts, but in the four samples of one band only: fewer than any number of samples that a filter could ask for
+    base = prose(5, 120)
+    texts = [" ".join(base), " ".join([*base[:60], "other", *base[61:]]), " ".join(prose(7, 120))]
+    f = minhash.features(*minhash.words_of(*minhash.textvec.utf8(pa.array(texts))), minhash.Idf(60, np.arange(3, dtype=np.int64), np.array([30, 20, 10]), 10))
+    assert minhash.similarity(*((np.zeros((f[0] == t).sum(), int), f[1][f[0] == t], f[2][f[0] == t]) for t in (0, 1)), 1)[0] >= 0.8
+    samples = np.arange(3 * minhash.BANDS * minhash.ROWS, dtype=np.uint16).reshape(3, minhash.BANDS, minhash.ROWS)
+    samples[:, 0] = 7
+    columns = [pa.array([0] * 3, pa.int32()), pa.array([7] * 3), *(pa.array([0] * 3, pa.int32()) for _ in range(3)), pa.array(range(3)), pa.array(range(3)), pa.array(samples.view(np.int64).reshape(3, -1).tolist(), pa.list_(pa.int64()))]
+    block = minhash.Block(pa.RecordBatch.from_arrays(columns, names=["band", "bucket", "lo", "hi", "side", "node", "component", "bands"]))
+    x, y = block.agreeing()
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == {(0, 1), (0, 2), (1, 2)}
+    assert [k.tolist() for k in block.links(f, 0.8)] == [[0], [1]]
+
+
 def test_decontamination(docs, spark):
     items = spark.createDataFrame([(1, " ".join(prose(2, 200)[30:45])), (2, "two words"), (3, None), (4, ""), (None, "again")], "item_id long, text string")
     found = {r.doc_id: r for r in decontaminate.scan(docs, items).selectExpr("row.doc_id", "res.spans", "res.matches").collect()}
