@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import folders
@@ -17,11 +20,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH[0], BATCH[1])
 
 
+def spared(spark: SparkSession) -> None:
+    """Gives memory of the driver back: its Python's that is free, and the heap's garbage where the heap takes over half of its
+    limit. The plans and task reports of a long chain of jobs would else fill the heap before they are collected."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as Parquet and read again: later plans start from the files, which a lost executor can't take along."""
     small_batches(df.sparkSession)
     path = folders.working(df.sparkSession, name)
     df.write.options(compression="zstd", **options).parquet(path)
+    spared(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
